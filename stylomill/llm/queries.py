@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .near_dup import near_duplicates
 from .packing import pack
+from .repeats import repeat_digest
 from .token_file import token_digest
 from .topk import exact_top_k
 
@@ -23,6 +24,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_output": op2_token_output,
     "op4_exact_topk": op4_exact_topk,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_packing": op9_packing,
 }
 
