@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_digest, format_examples
 from .common import table
+from .langid import identify
 from .near_dup import near_duplicates
 from .packing import pack
 from .repeats import repeat_digest
+from .secrets import secret_digest
 from .token_file import token_digest
 from .topk import exact_top_k
 
@@ -20,10 +24,22 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds what looks like the template's own marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok").alias("text")
+    more = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), hard) for k, role in enumerate(("user", "assistant"))]
+    return chat_digest(format_examples(turns.unionByName(spark.range(1).select(F.inline(F.array(*more))))))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"), length=200)
 
@@ -32,12 +48,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_output": op2_token_output,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_topk": op4_exact_topk,
+    "op5_language_id": op5_language_id,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_packing": op9_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 OP4_SQL = """
