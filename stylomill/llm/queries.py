@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_examples
 from .common import table
+from .decontam import contaminated
 from .langid import identify
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality import assess
 from .repeats import repeat_digest
 from .secrets import secret_digest
 from .token_file import token_digest
@@ -40,10 +42,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"), length=200)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,9 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_topk": op4_exact_topk,
     "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
