@@ -1,12 +1,52 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from documents to packed training sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stylomill.llm.common import saved, table
+from stylomill.llm.decontam import keep_clean
+from stylomill.llm.near_dup import keep_first
+from stylomill.llm.packing import pack
+from stylomill.llm.quality import keep_good
+from stylomill.llm.secrets import redact
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document of the least id stays."""
+    return keep_first(docs, width=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other names and numbers, go."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials that look live are replaced by a mark; the documents stay."""
+    return redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of 2048."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", first_of_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: The stages learn, hash and tokenise, which SQL cannot express; tests/llm hold each against brute force.
 ORACLE_SQL = None
 
 

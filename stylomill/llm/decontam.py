@@ -20,10 +20,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,26 +205,50 @@ class Index:
         return [(q, kind) for q, p, width, kind in matched if kind == 1 or agrees(q, p, width)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_matched, n_plain (windows that match word for word), n_windows (of the item) of each row of
-    docs(doc_id, text) with each item of benchmark(item_id, text) that it holds."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's index, block by block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
-    schema = "doc_id long, item_id long, n_matched long, n_plain long, n_windows long"
-    out = None
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toArrow()
-        shared = spark.sparkContext.broadcast(Index(list(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True))))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(list(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True))))
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    return [x or "" for x in batch.column("text").to_pylist()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_matched, n_plain (windows that match word for word), n_windows (of the item) of each row of
+    docs(doc_id, text) with each item of benchmark(item_id, text) that it holds."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ("doc_id", "item_id", "n_matched", "n_plain", "n_windows")
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def passed(shared: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, reader = shared.value, Reader()
             for batch in slices(batches):
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[t], index.ids[i], n, plain, index.n_windows(i)) for t, i, n, plain in index.matches(*reader.read([x or "" for x in batch.column("text").to_pylist()]))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "n_matched", "n_plain", "n_windows"])
+                rows = [(ids[t], index.ids[i], n, plain, index.n_windows(i)) for t, i, n, plain in index.matches(*reader.read(texts_of(batch)))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=list(names))
+
+        return own.mapInArrow(search, ", ".join(f"{c} long" for c in names))
+
+    return reduce(DataFrame.unionByName, map(passed, indexes(benchmark)))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark."""
+
+    def passed(rest: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, reader = shared.value, Reader()
+            for batch in slices(batches):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[t for t, *_ in index.matches(*reader.read(texts_of(batch)))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rest.mapInArrow(run, rest.schema)
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return reduce(passed, indexes(benchmark), docs)

@@ -184,3 +184,15 @@ def scores(own: DataFrame, network: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "held_out")), pa.array(found.astype(np.float64))], names=[*names, "held_out", "score"])
 
     return own.select(*names, (~training_part()).alias("held_out"), "text").mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted 1."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(own, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch if shared.value is None else batch.filter(pa.array(shared.value.score(*features(raw(batch)))[0] >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
