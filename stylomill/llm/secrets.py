@@ -34,6 +34,11 @@ BLOCK = 256
 SPAN = "array<struct<start:int,end:int,ord:int,kind:string,value:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, computed once; inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, kind: str, pattern: str, least: int, ord_: int) -> Column:
     """The spans of one kind: the text between matches and the matches themselves, in turn, add up to their places."""
     grouped = kind == "assign"
@@ -47,13 +52,15 @@ def spans_of(text: Column, kind: str, pattern: str, least: int, ord_: int) -> Co
         end = start + F.char_length(p["match"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), p["value"].alias("value")))).alias("out"))
 
-    def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(F.slice(matched, b * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")), add)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+    def summed(own: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(own, b * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")), add)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        numbers = F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int"))
+        return F.flatten(F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")), block, lambda acc: acc["out"]))
 
-    numbers = F.sequence(F.lit(0), F.floor(F.size(matched) / BLOCK).cast("int"))
-    all_ = F.flatten(F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")), block, lambda acc: acc["out"]))
-    return F.filter(all_, lambda s: F.char_length(s["value"]) >= least)
+    return F.filter(let(matched, summed), lambda s: F.char_length(s["value"]) >= least)
 
 
 def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
