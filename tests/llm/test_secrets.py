@@ -1,0 +1,68 @@
+import hashlib
+import re
+
+from llm_rows import SCHEMA, rows_of
+
+from stylomill.llm import secrets as S
+
+
+
+def either(word):
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+ASSIGN = re.compile("(" + "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key") + ")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+KINDS = [("assign", ASSIGN, 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+
+
+def base(text):
+    spans = [(m.start(), k, m.end(), kind) for k, (kind, p, g, n) in enumerate(KINDS) for m in p.finditer(text or "") if len(m.group(g)) >= n]
+    return sorted(spans)
+
+
+def cases():
+    h = "0123456789abcdef"
+    texts = [
+        "password = 'hunter2hunter2'", "PASSWD:short secret=password:abcdefghijklmnop", "token = token = abcdefghijkl", "api_key=\"A1b2C3d4E5f6G7\" apikey : Z9y8X7w6V5u4T3",
+        "AKIA" + "A" * 13, "AKIA" + "B2" * 8 + " AKIAAKIA" + "C3" * 9, h, h + "x" + h * 2, "é🙂 " + h + " ü secret: " + h * 2, "ſecret = abcdefghijklmnop toKen=abcdefghijklmnop", None, "",
+        " ".join(f"{k:016x}" for k in range(700)), "ghp_" + "aB3" * 12, "token=" + "q" * 5000, "no secrets here",
+    ]
+    shared = [(200 + k, "token = 9f8e7d6c5b4a39281706f5e4d3c2b1a0") for k in range(6)]
+    return [(k, t) for k, t in enumerate(texts)] + shared + [(300, "token = a1b2c3d4e5f60718a1b2c3d4e5f60718"), (300, "token = a1b2c3d4e5f60718a1b2c3d4e5f60718"), (None, texts[0])]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame(rows_of(cases()), SCHEMA).repartition(3)
+    got = sorted((tuple(r)[:5] for r in S.secret_digest(df).collect()), key=str)
+    want = []
+    for i, t in cases():
+        spans = base(t)
+        want.append((i, *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_all_spans_hold_the_base_and_live_ones(spark):
+    rows = {r.doc_id: r.spans for r in S.secret_digest(spark.createDataFrame(rows_of(cases()), SCHEMA)).collect()}
+    for i, t in cases():
+        if i is not None:
+            assert {f"{s[3]}:{s[0]}:{s[2]}" for s in base(t)} <= set(rows[i].split(","))
+    assert "live:" in rows[300] and "live:" not in rows[200]  # of one owner, of five
+    assert "key:0:40" in rows[13]
+
+
+def test_ownership(spark):
+    rows = S.ownership(S.candidates(spark.createDataFrame(rows_of(cases()), SCHEMA))).collect()
+    assert sorted((r.owners, r.occurrences) for r in rows if r.occurrences >= 6) == [(5, 12)]  # as assigned value and as hex
+    assert not any(r.live for r in rows if r.owners >= S.EXAMPLE_OWNERS)
+
+
+def test_redact(spark):
+    df = spark.createDataFrame(rows_of(cases()), SCHEMA)
+    out = S.redact(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text[300] == "token = [SECRET]" and text[200] == dict(cases())[200] and text[10] is None
+
+
+def test_empty(no_docs):
+    assert S.secret_digest(no_docs).collect() == [] and S.redact(no_docs).collect() == []
