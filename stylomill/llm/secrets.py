@@ -134,6 +134,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     live = find_secrets(docs).where(F.exists("spans", lambda s: s["kind"] == "live"))
     values = live.select("key", F.array_distinct(F.transform(F.filter("spans", lambda s: s["kind"] == "live"), lambda s: s["value"])).alias("values")).dropDuplicates(["key"])
     longest = F.transform(F.reverse(F.array_sort(F.transform("values", lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
-    hidden = F.when(F.col("values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda acc, v: F.replace(acc, v, F.lit(mark))))
-    keyed = docs.select("*", row_key().alias("key"))
-    return keyed.join(values, "key", "left").select(*(hidden.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    text = F.col("own.text")
+    hidden = F.when(F.col("values").isNull(), text).otherwise(F.aggregate(longest, text, lambda acc, v: F.replace(acc, v, F.lit(mark))))
+    keyed = docs.select(row_key().alias("key"), F.struct("*").alias("own"))
+    return keyed.join(values, "key", "left").select(*(hidden.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns))
