@@ -157,7 +157,10 @@ def training_part() -> Column:
 def learn(docs: DataFrame) -> Models | None:
     """Fits the models on the sample; its word counts, bounded by the sample's size, reach the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_part())
-    ids = labelled.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    # A share of each language that surely holds its SAMPLE_DOCS least hashes is ranked, so the ranking stays small.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    few = labelled.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * F.col("size").cast("double") <= 4.0 * SAMPLE_DOCS * (1 << 31))
+    ids = few.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
     # SAMPLE_DOCS ids a language at most.
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang", "n")), ["doc_id", "lang"])
 
