@@ -148,7 +148,10 @@ def fit(rows: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Network:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("quality"))
-    ids = docs.where(training_part()).select("doc_id").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    labelled = docs.where(training_part()).select("doc_id").join(marks, "doc_id")
+    # A share that surely holds the SAMPLE_DOCS least hashes is ordered, so the order stays small.
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    ids = labelled.where(hashed * float(labelled.count()) <= 4.0 * SAMPLE_DOCS * (1 << 31)).orderBy(hashed, "doc_id").limit(SAMPLE_DOCS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
