@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import chat_digest, format_examples
 from .common import table
 from .decontam import contaminated
@@ -75,21 +76,10 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-OP4_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
 ORACLE: dict[str, str] = {
-    "op4_exact_topk": OP4_SQL,
+    "op1_minhash_near_dedup": oracles.OP1,
+    "op3_chat_formatting": oracles.OP3,
+    "op4_exact_topk": oracles.OP4,
+    "op7_suffix_array_dedup": oracles.OP7,
+    "op10_secret_scan": oracles.OP10,
 }
