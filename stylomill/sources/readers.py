@@ -88,4 +88,4 @@ def ban_list(spark: SparkSession, path: str) -> DataFrame:
 def answers(spark: SparkSession, path: str, task: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of a benchmark table, the same for a seed."""
     df = spark.read.parquet(path).withColumn("task", F.lit(task))
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct("*"))))).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct(*df.columns))))).limit(n)
