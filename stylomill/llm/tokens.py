@@ -15,6 +15,7 @@ import numpy as np
 import regex
 
 #: Characters that normalisation leaves alone (but for case) and that no two versions of Unicode class differently.
+ODD = bytes(x for x in range(256) if x not in (9, 10, 13, *range(32, 127), *range(161, 173), *range(174, 256)))
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ɏ‐-‧]*")
 #: Pieces and words that a worker remembers.
 REMEMBERED = 500_000
@@ -24,6 +25,15 @@ DEFAULT = "word_bpe_49k.json"
 _encoders: dict[str, Encoder] = {}
 
 
+def plain(text: str) -> bool:
+    """Whether the text holds only characters of PLAIN; most texts are found out by their Latin-1 bytes."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
+    return len(data.translate(None, ODD)) == len(data)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -65,7 +75,10 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = self.word_pattern()
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        said = json.loads(self.tokenizer.to_str())
+        suffix = said["model"].get("end_of_word_suffix")
+        if self.pattern:  # the same model for words that are normal already
+            self.bare = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "added_tokens": [], "pre_tokenizer": said["pre_tokenizer"]["pretokenizers"][1]}))
         self.ends = np.zeros(self.size, bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
@@ -95,14 +108,14 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces: their words go through the tokenizer joined by spaces and part at the ids that end a word."""
-        parts = [self.pattern.findall(x) for x in pieces]
+        """Encodes new pieces: their words go through the model in one call and part at the ids that end a word."""
+        parts = [[x] if x.isalpha() else self.pattern.findall(x) for x in pieces]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
         order = list(set().union(*parts).difference(self.words))
         for at in range(0, len(order), 4096):
             words = order[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(words) and cut[-1] == len(ids):
                 data, edges = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -123,7 +136,7 @@ class Encoder:
             self.forget()
         numbers, number = [], self.known.__getitem__
         for t in texts:
-            if (t.isascii() and t.isprintable() or PLAIN.fullmatch(t)) and not any(s in t for s in self.special):
+            if plain(t) and not any(s in t for s in self.special):
                 pieces = t.lower().split()
                 numbers.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
             else:
