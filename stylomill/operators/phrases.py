@@ -37,6 +37,12 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text", lower_
     return met.select(*keys, F.explode(found).alias("f")).select(*keys, "f.phrase", "f.hits")
 
 
+def ngram_hits(grams: DataFrame, banned: DataFrame, by: list[str]) -> DataFrame:
+    """by, ngram, hits of listed n-grams in a content-token stream: an equi-join after the count, so few rows meet it."""
+    counted = grams.groupBy(*by, "ngram").agg(F.count("*").alias("hits"))
+    return counted.join(banned.select("ngram").distinct(), "ngram", "left_semi").select(*by, "ngram", "hits")
+
+
 def containment(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "text") -> DataFrame:
     """Pairs of text and phrase, case kept."""
     own = phrases.select(F.col(key), F.col(phrase).alias("needle")).where(F.col("needle") != "")

@@ -34,11 +34,15 @@ def query(sql: str | None = None):
     return add
 
 
+#: Columns that queries take of the tables with texts.
+TEXTS = {"documents": ["doc_id", "lang", "source", "text"], "pages": ["page_id", "html"], "conversations": ["conv_id", "turn", "role", "text"]}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out where its file has fewer parts than there are cores."""
+    """A table; one of texts is dealt out where its files are fewer than the cores, which a large corpus never is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and name in ("documents", "pages", "conversations") else df
+    return df.select(TEXTS[name]).repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +297,24 @@ def highlight_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.highlight_hits(documents(spark, sf_dir).select("doc_id", "text"), PHRASES)
 
 
+BANNED = ["the entire", "que ment", "and the", "nur der", "with that", "the tion the"]
+
+
+@query(
+    "WITH "
+    + O.content("tok", "conv_id, turn, role", "conversations")
+    + ", "
+    + O.grams("g", "role", "tok")
+    + f" SELECT role AS arm, ngram, count(*) AS hits FROM g WHERE list_contains({O.listed(BANNED + ['ention entre', 'tion and'])}, ngram) OR ngram IN (SELECT ngram FROM (SELECT ngram, count(*) AS c FROM g GROUP BY ngram ORDER BY c DESC, ngram LIMIT 20)) GROUP BY role, ngram"
+)
+def ngram_ban_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed n-grams, and the 20 most frequent, in the content-token stream of each arm."""
+    grams = ngrams.exploded(tokenised(arms(spark, sf_dir)), ["arm"])
+    most = grams.groupBy("ngram").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "ngram").limit(20).select("ngram")
+    listed = rows(spark, "ngram string", [(b,) for b in [*BANNED, "ention entre", "tion and"]]).unionByName(most).distinct()
+    return phrases.ngram_hits(grams, listed, ["arm"])
+
+
 TICS = ("the ", "ich ", "que ", "en en", "aa")
 
 
