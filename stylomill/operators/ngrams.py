@@ -19,8 +19,20 @@ def counted(df: DataFrame, by: list[str], weight: str | None = None) -> DataFram
     return df.groupBy(*by, "n", "ngram").agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("frequency"))
 
 
+#: Ranks up to which Spark cuts each partition before it shuffles.
+RANKED_EARLY = 1000
+
+
 def top(df: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """The k most frequent of each group, ties by n-gram, with their rank."""
+    """The k most frequent of each group, ties by n-gram, with their rank.
+
+    For a large k, the least frequency that can be among them is found from the frequencies' counts first; so only about
+    k rows a group are sorted, not the whole group in one task."""
+    if k > RANKED_EARLY:
+        counts = df.groupBy(*by, "frequency").agg(F.count("*").alias("c"))
+        before = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        least = counts.withColumn("before", before).where(F.col("before") < k).groupBy(*by).agg(F.min("frequency").alias("least"))
+        df = df.join(least, by).where(F.col("frequency") >= F.col("least")).drop("least") if by else df.crossJoin(least).where(F.col("frequency") >= F.col("least")).drop("least")
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("frequency"), "ngram"))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 

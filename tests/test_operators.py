@@ -154,3 +154,11 @@ def test_emergent_and_top_ties(spark):
     assert [(r.ngram, r["count"], r.baseline, r.flag) for r in got] == [("a b", 1, 1000, "natural")]
     grams = ngrams.counted(ngrams.exploded(talk, []), [])
     assert [r.ngram for r in ngrams.top(grams, 1, ["n"]).collect()] == ["a b"]
+
+
+def test_top_by_least_frequency(spark, monkeypatch):
+    grams = rows(spark, "n int, ngram string, frequency long", [(2, f"g{i:03d}", i % 7) for i in range(60)] + [(3, f"h{i}", 5) for i in range(9)])
+    want = sorted(map(tuple, ngrams.top(grams, 11, ["n"]).select("n", "ngram", "rank").collect()))
+    monkeypatch.setattr(ngrams, "RANKED_EARLY", 5)
+    assert sorted(map(tuple, ngrams.top(grams, 11, ["n"]).select("n", "ngram", "rank").collect())) == want
+    assert len(want) == 20
