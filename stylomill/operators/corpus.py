@@ -60,7 +60,11 @@ def prepared(df: DataFrame, header_registers: tuple[str, ...] = ("political",),
 
 
 def usable(df: DataFrame) -> DataFrame:
-    return df.where((F.col("n_tokens") >= 2) & ~degenerate(F.col("tokens")))
+    """Documents of too few tokens, or degenerate ones, get null tokens, 0 of them.
+
+    A filter would be pushed below the token column and build the tokens again."""
+    tokens = T.let(F.col("tokens"), lambda t: F.when((F.size(t) >= 2) & ~degenerate(t), t))
+    return df.withColumn("tokens", tokens).withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
 
 
 def register_report(df: DataFrame, banded: tuple[str, ...] = ("web", "expository")) -> DataFrame:
@@ -102,7 +106,7 @@ def profile(documents: DataFrame, budget: int | Column, sentences: DataFrame | N
     grams = N.exploded(kept, [])
     if sentences is None:
         return N.top(N.counted(grams, []), k, ["n"])
-    chars = kept.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("total_chars"))
+    chars = kept.agg(F.coalesce(F.sum(F.when(F.col("n_tokens") > 0, F.char_length("text"))), F.lit(0)).alias("total_chars"))
     more = N.exploded(scaled_sentences(sentences, chars), ["weight"])
     return N.top(N.counted(grams.withColumn("weight", F.lit(1).cast("long")).unionByName(more), [], "weight"), k, ["n"])
 

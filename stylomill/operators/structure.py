@@ -44,13 +44,14 @@ def rule_annotation(text: Column) -> Column:
 
     def token(word: Column, i: Column) -> Column:
         low = F.lower(word)
-        aux = low.isin(*AUXILIARIES)
         part = F.rlike(low, F.lit("^ge\\p{L}{2,}(t|en)$")) | low.isin("worden", "gewesen")
-        noun = ~aux & (i > 0) & F.rlike(word, F.lit("^\\p{Lu}\\p{Ll}+"))
-        verb = ~aux & ~noun & (part | F.rlike(low, F.lit("^\\p{L}{2,}(te|ten|st|en|t)$")))
         punct = ~F.rlike(word, F.lit("[\\p{L}\\p{N}]"))
-        pos = F.when(punct, "PUNCT").when(aux, "AUX").when(noun, "NOUN").when(verb, "VERB").otherwise("X")
-        form = F.when(part, "Part").when(aux & ~low.isin("haben", "werden", "können", "müssen", "sollen", "wollen", "dürfen"), "Fin").when(verb & F.rlike(low, F.lit("(te|st|t)$")), "Fin")
+        named = F.when(punct, "PUNCT").when(low.isin(*AUXILIARIES), "AUX").when((i > 0) & F.rlike(word, F.lit("^\\p{Lu}\\p{Ll}+")), "NOUN").when(F.rlike(low, F.lit("^\\p{L}{2,}(te|ten|st|en|t)$")), "VERB").otherwise("X")
+        return T.let(named, lambda pos: formed(word, low, part, punct, pos))
+
+    def formed(word: Column, low: Column, part: Column, punct: Column, pos: Column) -> Column:
+        infinitive = low.isin("haben", "werden", "können", "müssen", "sollen", "wollen", "dürfen")
+        form = F.when(~pos.isin("AUX", "VERB", "NOUN"), None).when(part, "Part").when((pos == "AUX") & ~infinitive, "Fin").when((pos == "VERB") & F.rlike(low, F.lit("(te|st|t)$")), "Fin")
         return F.struct(word.alias("text"), pos.alias("pos"), form.alias("verbform"), F.lit(None).cast("int").alias("depth"), F.lit(False).alias("is_space"), punct.alias("is_punct"))
 
     return F.transform(sentences, lambda s, k: F.struct(k.alias("sent_id"), F.transform(F.regexp_extract_all(s, F.lit("[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]"), F.lit(0)), token).alias("tokens")))
@@ -66,12 +67,6 @@ def counters(sents: Column) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    real = F.transform(sents, lambda s: F.filter(s["tokens"], lambda t: ~t["is_space"] & ~t["is_punct"]))
-    kept = F.filter(real, lambda ts: F.size(ts) >= C.MIN_SENTENCE_TOKENS)
-
-    def number(test: Callable[[Column], Column]) -> Column:
-        return total(F.transform(kept, lambda ts: F.size(F.filter(ts, lambda t: F.coalesce(test(t), F.lit(False))))))
-
     def werden(t: Column) -> Column:
         low = F.lower(t["text"])
         starts = F.startswith(low, F.lit(C.PASSIVE_PREFIXES[0]))
@@ -79,19 +74,28 @@ def counters(sents: Column) -> Column:
             starts = starts | F.startswith(low, F.lit(p))
         return (t["pos"] == "AUX") & starts
 
-    passive = F.filter(kept, lambda ts: F.exists(ts, lambda t: F.coalesce(werden(t), F.lit(False))) & F.exists(ts, lambda t: F.coalesce(t["verbform"] == "Part", F.lit(False))))
-    verbs = lambda t: t["pos"].isin("VERB", "AUX")
-    return F.struct(
-        F.size(kept).cast("long").alias("n_sentences"),
-        total(F.transform(kept, F.size)).alias("n_tokens"),
-        number(lambda t: t["pos"].isin("NOUN", "PROPN")).alias("n_noun"),
-        number(verbs).alias("n_verb"),
-        number(lambda t: (t["pos"] == "NOUN") & nominal(t["text"])).alias("n_nominal"),
-        number(lambda t: verbs(t) & (t["verbform"] == "Fin")).alias("n_finite"),
-        total(F.transform(kept, lambda ts: total(F.transform(ts, lambda t: F.coalesce(F.least(t["depth"], F.lit(101)), F.lit(0)))))).alias("depth_sum"),
-        number(lambda t: t["depth"].isNotNull()).alias("depth_n"),
-        F.size(passive).cast("long").alias("n_passive"),
-    )
+    def verb(t: Column) -> Column:
+        return t["pos"].isin("VERB", "AUX")
+
+    def counted(kept: Column) -> Column:
+        def number(test: Callable[[Column], Column]) -> Column:
+            return total(F.transform(kept, lambda ts: F.size(F.filter(ts, lambda t: F.coalesce(test(t), F.lit(False))))))
+
+        passive = F.filter(kept, lambda ts: F.exists(ts, lambda t: F.coalesce(werden(t), F.lit(False))) & F.exists(ts, lambda t: F.coalesce(t["verbform"] == "Part", F.lit(False))))
+        return F.struct(
+            F.size(kept).cast("long").alias("n_sentences"),
+            total(F.transform(kept, F.size)).alias("n_tokens"),
+            number(lambda t: t["pos"].isin("NOUN", "PROPN")).alias("n_noun"),
+            number(verb).alias("n_verb"),
+            number(lambda t: (t["pos"] == "NOUN") & nominal(t["text"])).alias("n_nominal"),
+            number(lambda t: verb(t) & (t["verbform"] == "Fin")).alias("n_finite"),
+            total(F.transform(kept, lambda ts: total(F.transform(ts, lambda t: F.coalesce(F.least(t["depth"], F.lit(101)), F.lit(0)))))).alias("depth_sum"),
+            number(lambda t: t["depth"].isNotNull()).alias("depth_n"),
+            F.size(passive).cast("long").alias("n_passive"),
+        )
+
+    real = F.transform(sents, lambda s: F.filter(s["tokens"], lambda t: ~t["is_space"] & ~t["is_punct"]))
+    return T.let(F.filter(real, lambda ts: F.size(ts) >= C.MIN_SENTENCE_TOKENS), counted)
 
 
 def pooled(df: DataFrame, by: list[str]) -> DataFrame:
