@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker unpacks at a time (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
 
+_ours: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,15 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/stylomill/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder.  What operators put there goes when the session's program ends."""
+    top = f"{shared_dir(spark).rstrip('/')}/stylomill-{spark.sparkContext.applicationId}"
+    if top not in _ours:
+        _ours.add(top)
+        atexit.register(_swept, spark, top)
+    return f"{top}/{uuid.uuid4().hex}-{name}"
+
+
+def _swept(spark: SparkSession, top: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before, and the folder is its owner's to clear
+        delete(spark, top)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df.scratch_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def reshuffled(key: str) -> Column:
@@ -86,6 +110,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         joined = e.join(least, "a")
         return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
+    # Only the last round's table is left when it ends.
     state = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     seen, turn = None, 0
     while True:
@@ -93,5 +118,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen, turn = now, turn + 1
-        state = saved(small(saved(stars(state), f"{name}-{turn}-large")), f"{name}-{turn}")
+        large = saved(stars(state), f"{name}-{turn}-large")
+        before, state = state, saved(small(large), f"{name}-{turn}")
+        discard(before, large)
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -240,8 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = linked([shingle_hashes(t, width) for t in tokens], [nodes[k] for k in keep], [own[k] for k in keep], tokens, width, (percent, 100), threshold)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    links = dealt.groupBy("family", "low", "high").applyInArrow(confirm, "a long, b long")
-    groups = components(links, "links")
+    groups = components(dealt.groupBy("family", "low", "high").applyInArrow(confirm, "a long, b long"), "links")
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("linked_id"))
     return signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("linked_id", "doc_id")).alias("component_id")

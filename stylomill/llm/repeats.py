@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, reshuffled, saved, slices
+from .common import discard, raw, reshuffled, saved, slices
 
 #: Bytes of a trigger string.
 TRIGGER = 64
@@ -200,7 +200,7 @@ FOUND = "key long, start long, last long, gram long, own long, block int, a long
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """key, start, last: stretches of starts of windows that also occur elsewhere.  docs: key, text."""
+    """key, start, last: stretches of starts of windows that also occur elsewhere; a written table.  docs: key, text."""
     spark = docs.sparkSession
     common = parse(docs, length).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     shared = spark.sparkContext.broadcast(key_map(common, "gram"))
@@ -250,7 +250,9 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     asked = found.where("block >= 0")
     answers = asked.groupBy("gram", "own", "a").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(reshuffled("gram"), "own", "a")
     across = asked.where("start >= 0").join(answers, ["gram", "own", "a"], "left_semi").select("key", "start", "last")
-    return whole.unionByName(found.where("block < 0").select("key", "start", "last")).unionByName(across)
+    out = saved(whole.unionByName(found.where("block < 0").select("key", "start", "last")).unionByName(across), "starts")
+    discard(parsed, dictionary, several, found)
+    return out
 
 
 def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -259,7 +261,7 @@ def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.select(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text").alias("key"), "doc_id", "text")
-    found = saved(repeated_windows(own, length), "starts")
+    found = repeated_windows(own, length)
     shared = spark.sparkContext.broadcast(key_map(found.select("key"), "key"))
     stretches = found.groupBy("key").agg(F.collect_list(F.struct("start", "last")).alias("starts"))
     kind = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
