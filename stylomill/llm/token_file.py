@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, slices
+from .common import discard, saved, scratch, slices
 from .tokens import Encoder, default_path
 
 SCALE_BITS = 20
@@ -193,33 +193,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(pack, "segment int, block int, first long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (binary, unsigned 32-bit little-endian) of the documents under path."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit little-endian) of the documents
+    under path."""
     shared = spark.sparkContext.broadcast(table_of(spark.read.parquet(f"{path}/frequencies")))
+    names = ["segment", "doc_id", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload", 1):
             for segment, first, payload in zip(*(batch.column(c).to_pylist() for c in ("segment", "first", "payload")), strict=True):
                 block = Block(payload)
-                data, n = block.decode(shared.value).astype("<u4").tobytes(), block.docs["n"].astype(np.int64)
+                data, n = memoryview(block.decode(shared.value).astype("<u4")).cast("B"), block.docs["n"].astype(np.int64)
                 ends = np.cumsum(n)
                 parts = [data[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment] * len(n), pa.int32()), pa.array(block.docs["id"], pa.int64(), mask=block.docs["null"].astype(bool)), pa.array(first + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())],
-                    names=["segment", "doc_id", "local", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [pa.array([segment] * len(n), pa.int32()), pa.array(block.docs["id"], pa.int64(), mask=block.docs["null"].astype(bool)), pa.array(first + ends - n), pa.array(n), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(map(bytes, parts), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     blocks = spark.read.parquet(f"{path}/blocks")
     # One row a segment: as many as the write had partitions.
     bases = blocks.groupBy("segment").agg(F.sum("n_tokens").alias("n")).select("segment", F.coalesce(F.sum("n").over(W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = blocks.select("segment", "first", "payload").mapInArrow(unpack, "segment int, doc_id long, local long, n_tokens long, ids_crc32 long, ids binary")
-    return rows.join(F.broadcast(bases), "segment").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    rows = blocks.select("segment", "first", "payload").mapInArrow(unpack, "segment int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.join(F.broadcast(bases), "segment").select("doc_id", (F.col("base") + F.col("local")).alias("start"), *names[3:])
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """Writes docs' ids to a new place in the shared folder and reads back where each document lies, and its checksum."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
-    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(docs.sparkSession, path, with_ids=False)

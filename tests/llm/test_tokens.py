@@ -35,6 +35,15 @@ def test_file_round_trip(docs, texts, ids_of):
     assert sorted(r.doc_id for r in rows if r.doc_id) == sorted(i for i, _ in texts if i)
 
 
+def test_ids_come_back(spark, docs, texts, ids_of):
+    from stylomill.llm.common import scratch
+
+    path = scratch(spark, "tokens-test")
+    token_file.write_tokens(docs, path)
+    by = {r.doc_id: bytes(r.ids) for r in token_file.read_tokens(spark, path).collect()}
+    assert all(by[i] == ids_of(t).tobytes() for i, t in texts if i not in (None, 18))
+
+
 def test_file_of_nothing(no_docs):
     assert token_file.token_digest(no_docs).collect() == []
 
