@@ -7,6 +7,7 @@ item always stands for the same value of the document, and two values never for
 if it holds NEED of the item's windows (all, if the item has fewer).
 
 A number is a run of digits with inner marks, a unit a unit word after a number, a name a capitalised word inside a sentence.
+A capitalised word that opens a sentence may be a word or a name, so templates have it in both forms.
 Items of fewer than WINDOW tokens are one window; items, and template windows, of fewer than PLAIN_WORDS plain words are
 never reported by themselves.  The benchmark is taken in blocks of BLOCK_CHARS characters, each broadcast on its own, with
 a pass over the documents for each.
@@ -38,6 +39,8 @@ PLAIN_WORDS = 4
 BLOCK_CHARS = 8_000_000
 REMEMBERED = 400_000
 TABLE_BITS = 22
+#: Forms of windows that are hashed in one go.
+FORMS = 1 << 17
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?]+")
 #: Words that measure what the number before them counts.
 UNITS = frozenset(
@@ -86,6 +89,11 @@ class Reader:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Plain hashes and kinds of all tokens, and each text's first token with the end."""
+        hashes, kinds, _, edges = self.tokens(texts)
+        return hashes, kinds, edges
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As read(); third, which of the PLAIN tokens may be names as well."""
         if len(self.known) > REMEMBERED:
             self.forget()
         number, numbers = self.known.__getitem__, []
@@ -103,11 +111,12 @@ class Reader:
         opens = np.zeros(len(kind), bool)
         opens[edges[:-1][edges[:-1] < len(kind)]] = True
         opens[1:] |= stop[:-1]
-        kind[(kind == TITLE) & opens] = PLAIN
+        either = (kind == TITLE) & opens
+        kind[either] = PLAIN
         counted = np.zeros(len(kind), bool)
         counted[1:] = kind[:-1] == NUMBER
         kind[(kind == UNIT) & ~counted] = PLAIN
-        return self.hash.data[place], kind, edges
+        return self.hash.data[place], kind, either, edges
 
 
 def streams(hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +133,37 @@ def windows(tokens: np.ndarray, width: int, kind: int) -> np.ndarray:
     return h
 
 
+def named(template: np.ndarray, kinds: np.ndarray, either: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Further forms of template windows, hashes and places: with every choice of the tokens that may be names as names,
+    as long as PLAIN_WORDS plain words (or all, of a narrower window) are left."""
+    n = max(0, len(template) - width + 1)
+    at = np.flatnonzero(either)
+    if not n or not len(at):
+        return
+    first = np.searchsorted(at, np.arange(n))
+    count = np.searchsorted(at, np.arange(n) + width) - first
+    plain = np.r_[0, np.cumsum(kinds == PLAIN)]
+    spare = plain[width : width + n] - plain[:n] - min(PLAIN_WORDS, width)
+    # All of them as names: one more stream.
+    rows = np.flatnonzero((count > 0) & (spare >= count))
+    yield windows(np.where(either, _PLACEHOLDER[TITLE], template), width, 0)[rows], rows
+    for c in range(2, count.max() + 1):
+        chosen = np.array([x for x in range(1, (1 << c) - 1) if x.bit_count() <= width - min(PLAIN_WORDS, width)], np.int64)
+        bits = np.array([x.bit_count() for x in chosen.tolist()])
+        rows = np.flatnonzero((count == c) & (spare > 0))
+        for lot in np.array_split(rows, -(-len(rows) * len(chosen) // FORMS)) if len(rows) and len(chosen) else []:
+            spot = lot[:, None] + np.arange(width)
+            nth = np.cumsum(either[spot], axis=1) - 1
+            as_name = either[spot] & (chosen[:, None, None] >> nth.clip(0) & 1).astype(bool)
+            own = np.where(as_name, _PLACEHOLDER[TITLE], template[spot])
+            h = np.full(own.shape[:2], width * 2, np.uint64)
+            for j in range(width):
+                h = (h ^ own[:, :, j]) * _MIX
+                h ^= h >> np.uint64(32)
+            keep = bits[:, None] <= spare[lot]
+            yield h[keep], np.broadcast_to(lot, keep.shape)[keep]
+
+
 class Index:
     """The windows of a block of items in sorted hash arrays."""
 
@@ -133,8 +173,8 @@ class Index:
         hashes, owners, places = [], [], []
         reader = Reader()
         for k, (_, text) in enumerate(items):
-            tokens, kinds, _ = reader.read([text])
-            self.tokens.append((tokens, kinds))
+            tokens, kinds, either, _ = reader.tokens([text])
+            self.tokens.append((tokens, kinds, either))
             width = min(WINDOW, len(tokens))
             if (kinds == PLAIN).sum() < PLAIN_WORDS:
                 continue
@@ -145,7 +185,11 @@ class Index:
                 hashes.append(h[keep])
                 owners.append(np.full(len(keep), k))
                 places.append(keep)
-        self.widths = sorted({min(WINDOW, len(t)) for t, _ in self.tokens if len(t)})
+            for h, keep in named(streams(tokens, kinds)[0], kinds, either, width):
+                hashes.append(h)
+                owners.append(np.full(len(keep), k))
+                places.append(keep)
+        self.widths = sorted({min(WINDOW, len(t)) for t, *_ in self.tokens if len(t)})
         h = np.concatenate([np.empty(0, np.uint64), *hashes])
         order = np.argsort(h, kind="stable")
         self.hash, self.owner, self.place = h[order], np.concatenate([np.empty(0, np.int64), *owners])[order], np.concatenate([np.empty(0, np.int64), *places])[order]
@@ -161,48 +205,70 @@ class Index:
         i = np.searchsorted(self.hash, h[at])
         return at[self.hash[i.clip(0, max(0, len(self.hash) - 1))] == h[at]] if len(self.hash) else at[:0]
 
-    def matches(self, hashes: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def matches(self, hashes: np.ndarray, kinds: np.ndarray, either: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, windows matched, of these as plain words) of those that match enough."""
-        found: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+        found = []
         for width in self.widths:
-            for kind, stream in enumerate(streams(hashes, kinds)):
-                h = windows(stream, width, kind)
-                at = self.hits(h)
+            template, plain = streams(hashes, kinds)
+            forms = [(windows(template, width, 0), None), (windows(plain, width, 1), None), *named(template, kinds, either, width)]
+            for h, places in forms:
+                own = self.hits(h)
+                at = own if places is None else places[own]
                 text = np.searchsorted(edges, at, side="right") - 1
                 inside = at + width <= edges[text + 1]
-                at, text = at[inside], text[inside]
-                low, high = np.searchsorted(self.hash, h[at]), np.searchsorted(self.hash, h[at], side="right")
-                for p, t, i, j in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for e in range(i, j):
-                        q = int(self.place[e])
-                        found[t, int(self.owner[e]), p - q].append((q, p, width, kind))
+                own, at, text = own[inside], at[inside], text[inside]
+                low, high = np.searchsorted(self.hash, h[own]), np.searchsorted(self.hash, h[own], side="right")
+                n = high - low
+                entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.stack([np.repeat(text, n), self.owner[entry], np.repeat(at, n) - self.place[entry]], axis=1))
         held: dict[tuple[int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
-        for (t, k, _), matched in found.items():
-            for q, kind in self.consistent(k, matched, hashes, kinds):
-                held[t, k][0].add(q)
-                if kind:
-                    held[t, k][1].add(q)
+        for t, k, shift in np.unique(np.concatenate([np.empty((0, 3), np.int64), *found]), axis=0).tolist():
+            matched, plain = self.aligned(k, shift, hashes, kinds, either, int(edges[t]), int(edges[t + 1]))
+            held[t, k][0].update(matched)
+            held[t, k][1].update(plain)
         return [(t, k, len(a), len(b)) for (t, k), (a, b) in sorted(held.items()) if len(a) >= min(NEED, self.n_windows(k))]
 
-    def consistent(self, k: int, matched: list[tuple[int, int, int, int]], hashes: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int]]:
-        """Of the matches along one alignment, those whose slots agree with what the slots stand for most often."""
-        own, own_kinds = self.tokens[k]
-        pairs: set[tuple[int, int, int, int]] = set()
-        for q, p, width, kind in matched:
-            if kind == 0:
-                pairs.update((int(own_kinds[q + j]), q + j, int(own[q + j]), int(hashes[p + j])) for j in range(width) if own_kinds[q + j] != PLAIN)
+    def aligned(self, k: int, shift: int, hashes: np.ndarray, kinds: np.ndarray, either: np.ndarray, low: int, high: int) -> tuple[set[int], set[int]]:
+        """The item's windows that hold where its token q stands at q + shift of a text's tokens, low to high; those of them word for word."""
+        own, own_kinds, own_either = self.tokens[k]
+        width = min(WINDOW, len(own))
+        start, end = max(0, low - shift), min(len(own), high - shift)
+        mine, there = slice(start, end), slice(start + shift, end + shift)
+        same = own[mine] == hashes[there]
+        slot = np.where(own_either[mine], TITLE, own_kinds[mine])
+        word = same & (own_kinds[mine] == PLAIN) & (kinds[there] == PLAIN)
+        fits = word | (slot != PLAIN) & (slot == np.where(either[there], TITLE, kinds[there]))
+
+        def whole(x: np.ndarray) -> np.ndarray:
+            return summed(x) == width
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            before = np.r_[0, np.cumsum(x)]
+            return before[width:] - before[:-width]
+
+        wordy = whole(fits) & (summed(word) >= min(PLAIN_WORDS, width))
+        pairs = [None if w else (int(s), int(a), int(b)) for w, s, a, b in zip(word, slot, own[mine], hashes[there], strict=True)]
+        # First with words alone where a sentence opens, as a name there that differs must not unsettle the other slots.
+        words_only = wordy & (summed(own_either[mine] & ~word) == 0)
+        plain = np.flatnonzero(whole(same))
+        agreed = {x for chosen in (words_only, wordy) for x in self.consistent(np.flatnonzero(chosen).tolist(), width, pairs)}
+        return {start + q for q in agreed.union(plain.tolist())}, set((start + plain).tolist())
+
+    @staticmethod
+    def consistent(places: list[int], width: int, pairs: list[tuple[int, int, int] | None]) -> list[int]:
+        """Of the windows at these places, those whose slots agree with what the slots stand for most often.
+
+        pairs: kind, value and the value there of each token that fills a slot."""
         there, back = defaultdict(Counter), defaultdict(Counter)
-        for kind, _, a, b in pairs:
-            there[kind, a][b] += 1
-            back[kind, b][a] += 1
+        for q in {q + j for q in places for j in range(width)}:
+            if pairs[q]:
+                kind, a, b = pairs[q]
+                there[kind, a][b] += 1
+                back[kind, b][a] += 1
         most = {x: max(c.items(), key=lambda y: (y[1], y[0]))[0] for x, c in there.items()}
         least = {x: max(c.items(), key=lambda y: (y[1], y[0]))[0] for x, c in back.items()}
-
-        def agrees(q: int, p: int, width: int) -> bool:
-            slots = [(int(own_kinds[q + j]), int(own[q + j]), int(hashes[p + j])) for j in range(width) if own_kinds[q + j] != PLAIN]
-            return all(most[kind, a] == b and least[kind, b] == a for kind, a, b in slots)
-
-        return [(q, kind) for q, p, width, kind in matched if kind == 1 or agrees(q, p, width)]
+        agrees = [p is None or (most.get(p[:2]) == p[2] and least.get((p[0], p[2])) == p[1]) for p in pairs]
+        return [q for q in places if all(agrees[q : q + width])]
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Broadcast]:
@@ -230,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index, reader = shared.value, Reader()
             for batch in slices(batches):
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[t], index.ids[i], n, plain, index.n_windows(i)) for t, i, n, plain in index.matches(*reader.read(texts_of(batch)))]
+                rows = [(ids[t], index.ids[i], n, plain, index.n_windows(i)) for t, i, n, plain in index.matches(*reader.tokens(texts_of(batch)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=list(names))
 
         return own.mapInArrow(search, ", ".join(f"{c} long" for c in names))
@@ -246,7 +312,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index, reader = shared.value, Reader()
             for batch in slices(batches):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[t for t, *_ in index.matches(*reader.read(texts_of(batch)))]] = False
+                clean[[t for t, *_ in index.matches(*reader.tokens(texts_of(batch)))]] = False
                 yield batch.filter(pa.array(clean))
 
         return rest.mapInArrow(run, rest.schema)

@@ -52,3 +52,24 @@ def test_canonical_kinds():
     tokens, kinds, edges = D.Reader().read(["The man Bert ran 5 km. Then 1,000.5 kg fell; km alone", "", "Bert"])
     assert kinds.tolist() == [0, 0, D.TITLE, 0, D.NUMBER, D.UNIT, 0, D.NUMBER, D.UNIT, 0, 0, 0, 0]
     assert edges.tolist() == [0, 12, 12, 13] and len(tokens) == 13
+
+
+def found(items, texts):
+    """(text, item) of what an index of the items finds."""
+    return {(t, k) for t, k, *_ in D.Index(list(enumerate(items))).matches(*D.Reader().tokens(texts))}
+
+
+def test_names_that_open_sentences():
+    items = [
+        "Natalia sold clips to 48 of her friends. Natalia sold half as many in May. How many clips did Natalia sell?",
+        "Tom has 12 red apples. Anna has 7 green pears. Bert buys 5 of them all. How many are left?",
+    ]
+    texts = [
+        "Marta sold clips to 52 of her friends. Marta sold half as many in June. How many clips did Marta sell?",
+        "Eva has 31 red apples. Olga has 9 green pears. Piet buys 4 of them all. How many are left?",
+        "Here, tom has 31 red apples. Olga has 9 green pears. Piet buys 4 of them all. so how many are left?",
+        "Eva has 31 red apples. Eva has 31 green pears. Eva buys 31 of them all. How many are left?",  # one name for three
+    ]
+    assert found(items, texts) == {(0, 0), (1, 1), (2, 1)}
+    long = ["In the year 1999 the farmer bought 12 kg of apples and then sold 7 kg of them again."]
+    assert found(long, ["And in the year 2004 the farmer bought 31 kg of apples and then sold 9 kg of them again."]) == {(0, 0)}  # a word in small letters
