@@ -8,8 +8,9 @@ if it holds NEED of the item's windows (all, if the item has fewer).
 
 A number is a run of digits with inner marks, a unit a unit word after a number, a name a capitalised word inside a sentence.
 A capitalised word that opens a sentence may be a word or a name, so templates have it in both forms.
-Items of fewer than WINDOW tokens are one window; items, and template windows, of fewer than PLAIN_WORDS plain words are
-never reported by themselves.  The benchmark is taken in blocks of BLOCK_CHARS characters, each broadcast on its own, with
+Items of fewer than WINDOW tokens are one window; template windows of fewer than PLAIN_WORDS plain words are never reported by
+themselves.  Word for word every item counts but bare rows of numbers, and items of fewer than WINDOW tokens that have fewer
+than PLAIN_WORDS words of any kind.  The benchmark is taken in blocks of BLOCK_CHARS characters, each broadcast on its own, with
 a pass over the documents for each.
 
 Null texts are empty and match nothing; null ids are carried.  Rows that repeat an id, on either side, are reported each.
@@ -176,7 +177,8 @@ class Index:
             tokens, kinds, either, _ = reader.tokens([text])
             self.tokens.append((tokens, kinds, either))
             width = min(WINDOW, len(tokens))
-            if (kinds == PLAIN).sum() < PLAIN_WORDS:
+            words = (kinds != NUMBER).sum()
+            if words < PLAIN_WORDS and (len(tokens) < WINDOW or not words):
                 continue
             wordy = np.convolve(kinds == PLAIN, np.ones(width, int), "valid") >= min(PLAIN_WORDS, width)
             for kind, stream in enumerate(streams(tokens, kinds)):

@@ -73,3 +73,12 @@ def test_names_that_open_sentences():
     assert found(items, texts) == {(0, 0), (1, 1), (2, 1)}
     long = ["In the year 1999 the farmer bought 12 kg of apples and then sold 7 kg of them again."]
     assert found(long, ["And in the year 2004 the farmer bought 31 kg of apples and then sold 9 kg of them again."]) == {(0, 0)}  # a word in small letters
+
+
+def test_items_of_few_plain_words_count_word_for_word():
+    items = [
+        "Solve 3 + 5 + 7 + 9 + 11 + 13 + 15 + 17 = ?", "Berlin, Paris, Rome, Madrid, Vienna, Prague, Oslo, Bern, Lisbon, Athens, Dublin, Riga, Sofia, Warsaw",
+        "Exactly Six Title Words Stand Here", "Der Hund Jagt Katzen Und Maus Durch Garten Haus Hof Wald", "Oslo Bern", "Solve 3 + 5", "1 2 3 4 5 6 7 8 9",
+    ]
+    assert found(items, ["well, " + x.lower() + " and so on" for x in items]) == {(k, k) for k in range(4)}
+    assert found(items[:1], ["Solve 4 + 5 + 7 + 9 + 11 + 13 + 15 + 17 = ?", "3 + 5 + 7 + 9 + 11 + 13 + 15 + 17"]) == set()
