@@ -7,9 +7,10 @@ item always stands for the same value of the document, and two values never for
 if it holds NEED of the item's windows (all, if the item has fewer).
 
 A number is a run of digits with inner marks, a unit a unit word after a number, a name a capitalised word inside a sentence.
-A capitalised word that opens a sentence may be a word or a name, so templates have it in both forms.
+A capitalised word that opens a sentence may be a word or a name, so templates have it in both forms.  A sentence may open at
+the start of a text or line and after any of MARKS.
 Items of fewer than WINDOW tokens are one window; template windows of fewer than PLAIN_WORDS plain words are never reported by
-themselves.  Word for word every item counts but bare rows of numbers, and items of fewer than WINDOW tokens that have fewer
+themselves: in an item with fewer than NEED others they count where all the others hold along the same alignment.  Word for word every item counts but bare rows of numbers, and items of fewer than WINDOW tokens that have fewer
 than PLAIN_WORDS words of any kind.  The benchmark is taken in blocks of BLOCK_CHARS characters, each broadcast on its own, with
 a pass over the documents for each.
 
@@ -42,7 +43,9 @@ REMEMBERED = 400_000
 TABLE_BITS = 22
 #: Forms of windows that are hashed in one go.
 FORMS = 1 << 17
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?]+")
+#: Marks after which a sentence may open, as it may after a line break.
+MARKS = ".!?:\"'“”„«»‘’"
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[" + MARKS + "]+")
 #: Words that measure what the number before them counts.
 UNITS = frozenset(
     "mm cm m km mg g kg t ml cl l s sec min h hr hrs ms hz khz mhz ghz w kw mw v a kwh j kj kcal pa bar c f k inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons "
@@ -63,29 +66,30 @@ class Reader:
     def forget(self) -> None:
         self.known = Numbered()
         self.start, self.length = Grown("int64"), Grown("int64")
-        self.hash, self.kind, self.stop = Grown("uint64"), Grown("uint8"), Grown("bool")
+        self.hash, self.kind, self.opens, self.ends = Grown("uint64"), Grown("uint8"), Grown("bool"), Grown("bool")
 
     def learn(self) -> None:
-        lengths, hashes, kinds, stops = [], [], [], []
+        lengths, hashes, kinds, opens, ends = [], [], [], [], []
         for piece in self.known.new:
-            n = 0
+            n, marked = 0, False
             for token in TOKEN.findall(piece):
-                if token[0] in ".!?":
-                    if n:
-                        stops[-1] = True
+                if token[0] in MARKS:
+                    marked = True
                     continue
                 low = token.lower()
                 hashes.append(xxhash.xxh64_intdigest(low))
                 kinds.append(NUMBER if token[0].isdigit() else UNIT if low in UNITS else TITLE if len(token) > 1 and token[0].isupper() and token[1:].islower() else PLAIN)
-                stops.append(False)
-                n += 1
+                opens.append(marked)
+                n, marked = n + 1, False
             lengths.append(n)
+            ends.append(marked)
         length = np.array(lengths, np.int64)
         self.start.add(self.hash.n + np.cumsum(length) - length)
         self.length.add(length)
         self.hash.add(np.array(hashes, np.uint64))
         self.kind.add(np.array(kinds, np.uint8))
-        self.stop.add(np.array(stops, bool))
+        self.opens.add(np.array(opens, bool))
+        self.ends.add(np.array(ends, bool))
         self.known.new = []
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ class Reader:
             self.forget()
         number, numbers = self.known.__getitem__, []
         for text in texts:
-            pieces = text.split()
+            pieces = " . ".join(text.splitlines()).split()
             numbers.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
         if self.known.new:
             self.learn()
@@ -108,10 +112,10 @@ class Reader:
         before = np.cumsum(length) - length
         place = np.repeat(self.start.data[at] - before, length) + np.arange(length.sum())
         edges = np.r_[before, length.sum()][np.cumsum([0, *map(len, numbers)])]
-        kind, stop = self.kind.data[place].copy(), self.stop.data[place]
-        opens = np.zeros(len(kind), bool)
-        opens[edges[:-1][edges[:-1] < len(kind)]] = True
-        opens[1:] |= stop[:-1]
+        kind, opens = self.kind.data[place].copy(), self.opens.data[place].copy()
+        # A piece without tokens stands before the next one that has some.
+        first = np.concatenate([edges[:-1], (before + length)[self.ends.data[at]]])
+        opens[first[first < len(kind)]] = True
         either = (kind == TITLE) & opens
         kind[either] = PLAIN
         counted = np.zeros(len(kind), bool)
@@ -191,6 +195,8 @@ class Index:
                 hashes.append(h)
                 owners.append(np.full(len(keep), k))
                 places.append(keep)
+        #: Of each item, the windows that are indexed as templates in every form, where these are too few to reach what is needed.
+        self.firm = [self._firm(k) for k in range(len(self.tokens))]
         self.widths = sorted({min(WINDOW, len(t)) for t, *_ in self.tokens if len(t)})
         h = np.concatenate([np.empty(0, np.uint64), *hashes])
         order = np.argsort(h, kind="stable")
@@ -198,6 +204,14 @@ class Index:
         self.some = np.zeros(1 << TABLE_BITS, bool)
         self.some[(self.hash & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
 
+    def _firm(self, k: int) -> np.ndarray | None:
+        tokens, kinds, either = self.tokens[k]
+        if not len(tokens):
+            return None
+        width = min(WINDOW, len(tokens))
+        firm = np.flatnonzero(np.convolve((kinds == PLAIN) & ~either, np.ones(width, int), "valid") >= min(PLAIN_WORDS, width))
+        return firm if len(firm) < min(NEED, self.n_windows(k)) else None
+
     def n_windows(self, k: int) -> int:
         n = len(self.tokens[k][0])
         return n - min(WINDOW, n) + 1
@@ -253,7 +267,11 @@ class Index:
         # First with words alone where a sentence opens, as a name there that differs must not unsettle the other slots.
         words_only = wordy & (summed(own_either[mine] & ~word) == 0)
         plain = np.flatnonzero(whole(same))
-        agreed = {x for chosen in (words_only, wordy) for x in self.consistent(np.flatnonzero(chosen).tolist(), width, pairs)}
+        chosen = [words_only, wordy]
+        # Windows of few words, which are not found by themselves, count where those that are all hold.
+        if self.firm[k] is not None and wordy.any() and np.isin(self.firm[k], start + np.flatnonzero(whole(fits))).all():
+            chosen.append(whole(fits))
+        agreed = {x for held in chosen for x in self.consistent(np.flatnonzero(held).tolist(), width, pairs)}
         return {start + q for q in agreed.union(plain.tolist())}, set((start + plain).tolist())
 
     @staticmethod

@@ -1,3 +1,4 @@
+import numpy as np
 from llm_rows import SCHEMA, prose, rows_of
 
 from stylomill.llm import decontam as D
@@ -82,3 +83,17 @@ def test_items_of_few_plain_words_count_word_for_word():
     ]
     assert found(items, ["well, " + x.lower() + " and so on" for x in items]) == {(k, k) for k in range(4)}
     assert found(items[:1], ["Solve 4 + 5 + 7 + 9 + 11 + 13 + 15 + 17 = ?", "3 + 5 + 7 + 9 + 11 + 13 + 15 + 17"]) == set()
+
+
+def test_short_items_with_windows_of_few_words():
+    items = ["What is the sum of 3, 4, 5, 6, 7, 8 and 9?", "What is the sum of 31 and 44 then?", "List of the values for x: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    texts = [
+        "What is the sum of 13, 4, 25, 36, 47, 58 and 69?", "Exercise\nWhat is the sum of 7 and 9 then?", "Exercise: “What is the sum of 7 and 9 then?”", "see (what is the sum of 7 and 9 then)",
+        "Exercise\nExercise:\nwhat is the sum of 7 and 7 then", "List of the values for x: 21 22 23 24 25 26 27 28 29 30 31 32 33 34", "3 4 5 6 7 8 9 10 30 31 32 33 34 35 36 37", "What is the sum of 13, 4 and nothing else?",
+    ]
+    assert found(items, texts) == {(0, 0), (1, 1), (2, 1), (3, 1), (5, 2)}
+
+
+def test_sentences_open_after_lines_colons_and_quotes():
+    _, kinds, either, _ = D.Reader().tokens(["so\nWhat a: Dog “Here is” the . Man of Iron"])
+    assert kinds.tolist() == [0] * 9 + [D.TITLE] and np.flatnonzero(either).tolist() == [1, 3, 4, 7]
