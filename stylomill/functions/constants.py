@@ -34,6 +34,7 @@ SUBTITLE_PERCENT = 18
 SUBTITLE_SCALE_CAP = 4.0
 SENTENCE_WEIGHT_CAP = 1000
 PROFILE_TOP_K = 500_000
+REFERENCE_DOCS = 250
 DEGENERATE_TOKENS = 100
 DEGENERATE_PERCENT = 8
 CANDIDATE_MIN_COUNT = 20

@@ -49,6 +49,21 @@ def budgets(registers: dict[str, list[str]], weights: dict[str, int], total: int
     return {source: max(1, int(total * weights[r] / whole) // len(sources)) for r, sources in registers.items() for source in sources}
 
 
+def dealt(df: DataFrame, total: int = C.TOKEN_BUDGET, weights: dict[str, int] | None = None) -> DataFrame:
+    """df(register, source) with `pair`, a key of both, and `budget`, what that source of that register gets of the total.
+
+    A source that occurs in several registers is one source of each.  Without weights the registers are equal.  Only the
+    distinct pairs reach the driver, and a register's budget the plan."""
+    register, pair = F.coalesce("register", F.lit("")), F.to_json(F.struct("register", "source"))
+    sources: dict[str, list[str]] = {}
+    for r, name in df.select(register, pair).distinct().collect():
+        sources.setdefault(r, []).append(name)
+    each = budgets(sources, {r: 1 for r in sources} if weights is None else weights, total)
+    of_register = [F.lit(x) for r, names in sources.items() for x in (r, each[names[0]])]
+    budget = F.element_at(F.create_map(*of_register), register) if of_register else F.lit(0)
+    return df.withColumn("pair", pair).withColumn("budget", budget.cast("long"))
+
+
 def prepared(df: DataFrame, header_registers: tuple[str, ...] = ("political",), nfkc: bool = True) -> DataFrame:
     """register, source, doc_id, text, perplexity -> the same with header-free text, its tokens and n_tokens."""
     text = F.coalesce("text", F.lit(""))

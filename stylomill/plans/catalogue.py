@@ -17,7 +17,7 @@ FLAGSHIP = "bigram_topk_by_register"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Tokens of one source in the queries.
+#: Tokens of one source in budget_cut and ngram_profile, where they show the cut; the queries that end in _full have the reference's.
 BUDGET = 5_000
 #: The registers of `lang` that the perplexity band holds for.
 BANDED = ("en", "fr")
@@ -117,11 +117,14 @@ def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("ngram").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "ngram").limit(100)
 
 
-KEPT_SQL = (
+OK_SQL = (
     BAND_SQL
     + ", "
     + O.content("tok", "doc_id, register, source, text", f"(SELECT * FROM banded WHERE {PASS_SQL})")
     + f", {MOST_SQL}, ok AS (SELECT tok.* FROM tok LEFT JOIN most USING (doc_id) WHERE len(t) >= 2 AND NOT coalesce({BAD_SQL}, false)),"
+)
+KEPT_SQL = (
+    OK_SQL
     + " run AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ok),"
     + f" kept AS (SELECT * FROM run WHERE before < {BUDGET})"
 )
@@ -132,6 +135,20 @@ def ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.profile(with_band(spark, sf_dir), BUDGET, k=PROFILE_K, banded=BANDED)
 
 
+#: register, budget: a register's part of all tokens, dealt to its sources.
+DEALT_SQL = f"dealt AS (SELECT lang AS register, greatest(1, ({C.TOKEN_BUDGET} // (SELECT count(DISTINCT lang) FROM documents)) // count(DISTINCT source)) AS budget FROM documents GROUP BY lang)"
+
+
+@query(
+    f"WITH {OK_SQL} run AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY register, source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ok), {DEALT_SQL}, kept AS (SELECT run.* FROM run JOIN dealt ON run.register = dealt.register WHERE before < budget), "
+    f"{O.grams('g', 'doc_id', 'kept')}, c AS (SELECT n, ngram, count(*) AS frequency FROM g GROUP BY n, ngram), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, ngram) AS INTEGER) AS rank FROM c) SELECT n, ngram, frequency, rank FROM r WHERE rank <= {C.PROFILE_TOP_K}"
+)
+def ngram_profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's budget and length of the profile."""
+    own = corpus.dealt(with_band(spark, sf_dir))
+    return corpus.profile(own.withColumn("source", F.col("pair")), F.col("budget"), banded=BANDED)
+
+
 @query(
     f"WITH {BAND_SQL}, "
     + O.content("tok", "doc_id, register, text, perplexity", "banded")
@@ -172,6 +189,18 @@ def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.within_budget(own, BUDGET).select("doc_id", "source", "n_tokens", "before")
 
 
+@query(
+    "WITH "
+    + O.content("tok", "doc_id, source, lang AS register", "documents").replace("tok AS (SELECT doc_id, source, lang AS register", "tok AS (SELECT doc_id, source, register")
+    + f", {DEALT_SQL}, r AS (SELECT doc_id, register, source, len(t) AS n_tokens, coalesce(sum(len(t)) OVER (PARTITION BY register, source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tok)"
+    + " SELECT doc_id, r.register, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(before AS BIGINT) AS before, CAST(budget AS BIGINT) AS budget FROM r JOIN dealt ON r.register = dealt.register WHERE before < budget"
+)
+def budget_cut_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's budget."""
+    own = corpus.dealt(tokenised(documents(spark, sf_dir)).select("doc_id", "register", "source", F.size("tokens").cast("long").alias("n_tokens")))
+    return corpus.within_budget(own, F.col("budget"), key="pair").select("doc_id", "register", "source", "n_tokens", "before", "budget")
+
+
 @query("WITH " + O.content("tok", "doc_id", "documents") + f", {MOST_SQL} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(coalesce(most, 0) AS BIGINT) AS most, coalesce({BAD_SQL}, false) AS degenerate FROM tok LEFT JOIN most USING (doc_id)")
 def degenerate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tokenised(documents(spark, sf_dir))
@@ -498,13 +527,27 @@ def metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("register", evaluate.compared(*_metric("passive_ratio")).alias("passive"), evaluate.compared(*_metric("noun_verb_ratio")).alias("noun_verb"), evaluate.compared(*_metric("clauses_per_sentence"), down=False).alias("clauses"))
 
 
-@query(f"WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, lang AS register, CAST(length(substring(coalesce(text, ''), 1, 4000)) AS BIGINT) AS chars FROM d WHERE k <= 25")
-def reference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reference_sql(most: int) -> str:
+    return f"WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, lang AS register, CAST(length(substring(coalesce(text, ''), 1, 4000)) AS BIGINT) AS chars FROM d WHERE k <= {most}"
+
+
+def first_documents(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     """The first documents of each register, by id, cut to 4000 characters: what a structural reference is measured on."""
     from pyspark.sql import Window as W
 
     ranked = documents(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("register").orderBy("doc_id")))
-    return ranked.where("k <= 25").select("doc_id", "register", F.char_length(F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.lit(4000))).cast("long").alias("chars"))
+    return ranked.where(F.col("k") <= most).select("doc_id", "register", F.char_length(F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.lit(4000))).cast("long").alias("chars"))
+
+
+@query(_reference_sql(25))
+def reference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_documents(spark, sf_dir, 25)
+
+
+@query(_reference_sql(C.REFERENCE_DOCS))
+def reference_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's number of documents."""
+    return first_documents(spark, sf_dir, C.REFERENCE_DOCS)
 
 
 @query(

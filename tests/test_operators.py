@@ -162,3 +162,19 @@ def test_top_by_least_frequency(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "RANKED_EARLY", 5)
     assert sorted(map(tuple, ngrams.top(grams, 11, ["n"]).select("n", "ngram", "rank").collect())) == want
     assert len(want) == 20
+
+
+def test_dealt_budget_cuts_each_source_of_each_register(spark):
+    rows = [(k, r, s, 10) for k, (r, s) in enumerate([("en", "x"), ("en", "x"), ("en", "x"), ("en", "y"), ("en", "y"), ("fr", "x"), ("fr", "x"), ("fr", "x"), ("fr", "x"), ("fr", None)])]
+    own = corpus.dealt(spark.createDataFrame(rows, "doc_id long, register string, source string, n_tokens long"), 60)
+    assert {(r.register, r.source): r.budget for r in own.collect()} == {("en", "x"): 15, ("en", "y"): 15, ("fr", "x"): 15, ("fr", None): 15}
+    got = corpus.within_budget(own, F.col("budget"), key="pair")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 3, 4, 5, 6, 9]
+    weighted = corpus.dealt(own.select("register", "source"), 100, {"en": 3, "fr": 1})
+    assert {r.register: r.budget for r in weighted.collect()} == {"en": 37, "fr": 12}
+
+
+def test_queries_with_the_budget_of_the_reference():
+    from stylomill.plans import catalogue
+
+    assert {"ngram_profile_full", "budget_cut_full", "reference_documents_full"} <= set(catalogue.QUERIES)
