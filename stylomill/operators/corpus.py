@@ -100,7 +100,7 @@ def register_report(df: DataFrame, banded: tuple[str, ...] = ("web", "expository
 
 def weighted_sentences(df: DataFrame) -> DataFrame:
     """sentence, count -> tokens, weight and characters of the sentences that are no credits and leave a bigram."""
-    own = df.where(~T.subtitle_noise(F.col("sentence"))).withColumn("tokens", T.content_tokens(F.col("sentence"))).where(F.size("tokens") >= 2)
+    own = df.where(~T.subtitle_noise(F.col("sentence"))).withColumn("tokens", T.content_tokens(T.nfkc(F.col("sentence")))).where(F.size("tokens") >= 2)
     return own.withColumn("w", F.least("count", F.lit(C.SENTENCE_WEIGHT_CAP))).withColumn("contribution", F.char_length("sentence") * F.col("w"))
 
 

@@ -50,7 +50,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenised(df: DataFrame) -> DataFrame:
-    return df.withColumn("tokens", T.content_tokens(F.col("text")))
+    return df.withColumn("tokens", T.content_tokens(T.nfkc(F.col("text"))))
 
 
 def with_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def nfkc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT page_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM tok"
 )
 def html_strip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = read(spark, sf_dir, "pages").select("page_id", T.content_tokens(F.col("html")).alias("t"))
+    tokens = read(spark, sf_dir, "pages").select("page_id", T.content_tokens(T.nfkc(F.col("html"))).alias("t"))
     return tokens.select("page_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -157,7 +157,7 @@ def ngram_profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT register, CAST(docs AS BIGINT) AS docs, CAST(chars AS BIGINT) AS chars, CAST(tokens AS BIGINT) AS tokens, CAST(skipped_ppl AS BIGINT) AS skipped_ppl, CAST(skipped_degenerate AS BIGINT) AS skipped_degenerate, CAST(100 * chars AS DOUBLE) / CAST(sum(chars) OVER () AS DOUBLE) AS char_pct FROM a"""
 )
 def register_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.register_report(corpus.prepared(with_band(spark, sf_dir), nfkc=False), BANDED)
+    return corpus.register_report(corpus.prepared(with_band(spark, sf_dir)), BANDED)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

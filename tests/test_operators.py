@@ -178,3 +178,27 @@ def test_queries_with_the_budget_of_the_reference():
     from stylomill.plans import catalogue
 
     assert {"ngram_profile_full", "budget_cut_full", "reference_documents_full"} <= set(catalogue.QUERIES)
+
+
+def test_queries_normalise(spark, tmp_path):
+    """Decomposed, wide and joined letters give the tokens of the plain text."""
+    import unicodedata
+
+    from stylomill.plans import catalogue as Q
+
+    plain = "Größere Wälder blühen über ruhigen Dörfern; finstere Grafen müssen flüchten"
+    forms = {"plain": plain, "odd": unicodedata.normalize("NFD", plain).replace("fi", "ﬁ").replace("fl", "ﬂ").replace("Grafen", "Ｇｒａｆｅｎ")}
+    got = {}
+    for name, text in forms.items():
+        d = str(tmp_path / name)
+        spark.createDataFrame([(k, "de", "s", text) for k in range(3)], "doc_id long, lang string, source string, text string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, f"<p>{text}</p>")], "page_id long, html string").write.parquet(f"{d}/pages.parquet")
+        spark.createDataFrame([(1, 1, "assistant", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+        spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality long").write.parquet(f"{d}/labels.parquet")
+        same = "norm_tokens html_strip_tokens bigram_topk_by_register trigram_topk subtitle_scaled_ngrams budget_cut degenerate_docs spread_candidates emergent_diff ngram_ban_hits unique_ngrams".split()
+        got[name] = {q: sorted(map(tuple, Q.QUERIES[q](spark, d).collect())) for q in same}
+        got[name]["register_report"] = [r.tokens for r in Q.register_report(spark, d).collect()]
+        got[name]["phrase_lookup"] = sorted((r.ngram, r.frequency, r.verdict) for r in Q.phrase_lookup(spark, d).collect())
+    assert got["odd"] == got["plain"]
+    assert all(got["plain"][q] for q in got["plain"] if q not in ("spread_candidates",))
