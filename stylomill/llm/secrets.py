@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidates in each whole text.  The values' hashes are counted over the corpus by distinct repositories and
-owners: a value that several owners hold is a copied example; one that stays with its owner and mixes letters and digits
-looks live.  Live values add spans of kind `live` beside the base spans, as does `key` for well-known key prefixes.
+owners: a value that several owners hold is a copied example; one that stays with its owner looks live, a bare run of hex
+digits only if it mixes letters and digits.  Live values add spans of kind `live` beside the base spans, as does `key` for well-known key prefixes.
 
 A span counts code points, end exclusive.  Matches of a kind are leftmost and do not overlap; a match that is too short is
 dropped after it was consumed.  Null texts are empty.  A null source is an owner of its own.  Each row gets one row, also
@@ -88,11 +88,11 @@ def row_key() -> Column:
 
 def ownership(found: DataFrame) -> DataFrame:
     """value_hash, owners, repositories, occurrences, live of every candidate value of the corpus."""
-    each = found.select("owner", "repository", F.explode("spans").alias("s")).select("owner", "repository", F.xxhash64("s.value").alias("value_hash"), (F.rlike("s.value", F.lit("[A-Za-z]")) & F.rlike("s.value", F.lit("[0-9]"))).alias("mixed"))
-    held = each.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"))
-    by_owner = held.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"), F.max("mixed").alias("mixed"))
-    return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"), F.max("mixed").alias("mixed")).select(
-        "value_hash", "owners", "repositories", "occurrences", (F.col("mixed") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)).alias("live")
+    each = found.select("owner", "repository", F.explode("spans").alias("s")).select("owner", "repository", F.xxhash64("s.value").alias("value_hash"), ((F.col("s.kind") != "hex") | F.rlike("s.value", F.lit("[a-f]")) & F.rlike("s.value", F.lit("[0-9]"))).alias("secret"))
+    held = each.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("secret").alias("secret"))
+    by_owner = held.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"), F.max("secret").alias("secret"))
+    return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"), F.max("secret").alias("secret")).select(
+        "value_hash", "owners", "repositories", "occurrences", (F.col("secret") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)).alias("live")
     )
 
 
