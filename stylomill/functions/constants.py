@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import zipfile
 from functools import cache
-from pathlib import Path
 
 # Results depend on them.
 JUNK_TOKENS = ("http", "https", "www", "com", "org", "html", "php", "amp", "nbsp")
@@ -49,6 +47,18 @@ MATTR_WINDOW = 50
 MIN_SENTENCE_TOKENS = 3
 HIGHLIGHT_MIN_CHARS = 4
 
+#: The common German stop words of the public stemming and stop-word lists: words, and stems that take every ending of the strong declension.
+STOP_WORDS = (
+    "aber als also am an ander anderm andern anderr anders auch auf aus bei bin bis bist da damit dann das dass dasselbe dazu daß dein dem demselben den "
+    "denn denselben der derer derselbe derselben des desselben dessen dich die dies dieselbe dieselben dir doch dort du durch ein einig einmal er es etwas "
+    "euch euer für gegen gewesen hab habe haben hat hatte hatten hier hin hinter ich ihm ihn ihnen ihr im in indem ins ist jetzt kann kein können könnte "
+    "machen man mein mich mir mit muss musste nach nicht nichts noch nun nur ob oder ohne sehr sein selbst sich sie sind so soll sollte sondern sonst um "
+    "und uns unter viel vom von vor war waren warst was weg weil weiter wenn werde werden wie wieder will wir wird wirst wo wollen wollte während würde "
+    "würden zu zum zur zwar zwischen über"
+)
+STOP_STEMS = ("all", "ander", "dein", "dies", "ein", "einig", "eur", "ihr", "jed", "jen", "kein", "manch", "mein", "sein", "solch", "uns", "welch")
+STOP_ENDINGS = ("e", "em", "en", "er", "es")
+
 #: Metrics of human reference registers.
 STRUCTURAL_REFERENCE = (
     # register, n_sentences, n_tokens, nominalization_per_100, noun_verb_ratio, mean_sentence_len, clauses_per_sentence, mean_parse_depth, passive_ratio
@@ -86,13 +96,8 @@ CANDIDATES = tuple(
 
 @cache
 def stopwords() -> tuple[str, ...]:
-    """Spark's own German list, and `dass`, into which the old spelling is turned before the list is asked."""
-    import pyspark
-
-    jar = next(Path(pyspark.__file__).parent.joinpath("jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/german.txt").decode().split()
-    return tuple(sorted({*words, "dass"}))
+    """Stop words, `dass` among them, into which the old spelling is turned before the list is asked."""
+    return tuple(sorted({*STOP_WORDS.split(), *(stem + ending for stem in STOP_STEMS for ending in STOP_ENDINGS)}))
 
 
 @cache
