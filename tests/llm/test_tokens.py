@@ -75,12 +75,15 @@ def test_pack(docs, texts, ids_of):
         by_seq.setdefault(r.sequence_id, []).append(r)
         by_doc.setdefault(r.doc_id, []).append(r)
         assert r.ids_crc32 == zlib.crc32(bytes(r.ids)) and 4 * r.length == len(r.ids)
+    padding = 0
     for pieces in by_seq.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding <= packing.SLACK * len(by_seq)
     once = [i for i, _ in texts if i is not None and sum(j == i for j, _ in texts) == 1]
     whole = dict(texts)
     for i in once:
@@ -94,10 +97,55 @@ def test_pack_nothing(no_docs):
     assert packing.pack(no_docs).collect() == []
 
 
-def test_assign_balances_cost():
-    pieces = packing.assign([900, 800, 700, 600, 500, 400, 300, 200, 3000], 2048)
-    fill = {}
+def costs_of(pieces):
+    fill, spent = {}, {}
     for _, _, n, s, offset in pieces:
         assert fill.get(s, 0) == offset
         fill[s] = offset + n
-    assert sum(fill.values()) == 7400 and all(v <= 2048 for v in fill.values())
+        spent[s] = spent.get(s, 0) + packing.cost(n)
+    return fill, spent
+
+
+def test_assign_takes_all_and_nothing_twice():
+    lengths = [900, 800, 700, 600, 500, 400, 300, 200, 3000]
+    pieces, rest = packing.assign(lengths, 2048)
+    fill, _ = costs_of(pieces)
+    assert rest == [] and sum(fill.values()) == 7400 and all(v <= 2048 for v in fill.values())
+    for k, n in enumerate(lengths):
+        assert sorted(x for d, at, m, *_ in pieces if d == k for x in range(at, at + m)) == list(range(n))
+
+
+def test_no_document_is_cut_that_finds_room_whole():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(1 + rng.lognormal(5.5, 1.1, 4000).astype(int), 2047).tolist()
+    pieces, rest = packing.assign(lengths, 2048, last=False)
+    assert sum(n for n, *_ in rest) < 2048
+    fill, spent = costs_of(pieces)
+    left = {k for _, k, _ in rest}
+    cut = {k for k in range(len(lengths)) if sum(p[0] == k for p in pieces) > 1}
+    # By length, a greedy pass of its own: what it places whole must be whole here too.
+    room, own, whole = np.full(sum(lengths) // 2048, 2048), np.zeros(sum(lengths) // 2048), set()
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        able = [s for s in range(len(room)) if room[s] >= lengths[k]]
+        if able:
+            s = min(able, key=lambda s: (own[s], s))
+            room[s] -= lengths[k]
+            own[s] += packing.cost(lengths[k])
+            whole.add(k)
+    assert not cut & whole and not left & whole and len(whole) > 0.9 * len(lengths)
+    full = [s for s, n in fill.items() if n >= 2048 - packing.SLACK]
+    assert len(full) >= len(fill) - 1 and sum(2048 - fill[s] for s in full) <= 0.005 * sum(lengths)
+    # Costs are balanced: placing each document where it fits best spreads them further.
+    room, own = np.full(len(fill) + 100, 2048), np.zeros(len(fill) + 100)
+    for n in sorted(lengths, reverse=True):
+        able = np.flatnonzero(room >= n)
+        s = able[room[able].argmin()]
+        room[s] -= n
+        own[s] += packing.cost(n)
+    ours, theirs = np.array([spent[s] for s in full]), own[room <= packing.SLACK]
+    assert ours.std() < 0.9 * theirs.std() and ours.min() > 1.2 * theirs.min()
+
+
+def test_many_tiny_documents():
+    pieces, rest = packing.assign([1] * 5000, 2048)
+    assert rest == [] and sorted(costs_of(pieces)[0].values()) == [8, 128, 256, 512, 2048, 2048]
