@@ -7,11 +7,12 @@ letter.  The score is the softmax of the cross-entropies at a temperature fitted
 texts whose least cross-entropy lies beyond nearly all of those documents' are marked rejected.
 
 The models are fitted on a bounded sample of labelled documents: SAMPLE_DOCS a language, by the hash of their id, whole
-texts, one in CALIBRATION of them kept for the calibration.  Every document is scored over its whole text.
+texts, as long as they add up to SAMPLE_BYTES a language; one in CALIBRATION of them is kept for the calibration.  Every
+document is scored over its whole text.
 
-Null texts, empty texts and texts without a letter are `und` with score 0.  Rows with a null lang teach nothing.  A null
-id counts as held out.  Rows that repeat an id each get a row.  Without any labelled row all texts are `und`.  Ties go to
-the language that sorts first.
+A letter is a character of the Unicode categories L; numerals are none.  Null texts, empty texts and texts without a letter
+are `und` with score 0.  Rows with a null lang teach nothing.  A null id counts as held out.  Rows that repeat an id each
+get a row.  Without any labelled row all texts are `und`.  Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import slices
 
 ORDER = 5
 SAMPLE_DOCS = 600
+SAMPLE_BYTES = 8 << 20
 CALIBRATION = 6
 #: Words, and letters of words, that a worker remembers.
 REMEMBERED = 300_000
@@ -41,7 +43,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The lower-cased runs of letters."""
+    found = WORD.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():  # the pattern also takes numerals that are no digits
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+    return found
 
 
 def coded(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,62 +66,57 @@ def hashed(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, and where each group of them begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
 class Models:
     """Sorted hash arrays: for each order the n-grams' log probabilities and the contexts' back-off weights."""
 
     def __init__(self, counts: dict[str, Counter]):
         self.languages = sorted(counts)
         size = len(self.languages)
-        raw: list[dict[str, dict[tuple, int]]] = [defaultdict(dict) for _ in range(ORDER + 1)]
-        letters = set()
-        for lang, found in counts.items():
-            top: Counter = Counter()
-            for w, n in found.items():
-                padded = (chr(START),) * (ORDER - 1) + tuple(w) + (chr(END),)
-                letters.update(padded[ORDER - 1 :])
-                for i in range(ORDER - 1, len(padded)):
-                    top[padded[i - ORDER + 1 : i + 1]] += n
-            raw[ORDER][lang] = top
-            for n in range(ORDER - 1, 0, -1):  # the number of different letters before
-                lower: Counter = Counter(g[1:] for g in raw[n + 1][lang])
-                raw[n][lang] = lower
-        self.uniform = 1.0 / (len(letters) + 1)
-        probs: list[dict[tuple, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        backs: list[dict[tuple, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        for n in range(1, ORDER + 1):
-            grams = sorted(set().union(*(raw[n][x] for x in self.languages)))
-            contexts = sorted({g[:-1] for g in grams})
-            place = {c: i for i, c in enumerate(contexts)}
-            total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
-            count, discount = np.zeros((len(grams), size)), np.full(size, 0.75)
-            for k, lang in enumerate(self.languages):
-                own = raw[n][lang]
-                ones, twos = (sum(1 for v in own.values() if v == x) for x in (1, 2))
-                if ones:
-                    discount[k] = min(0.95, max(0.1, ones / (ones + 2 * twos)))
-                for i, g in enumerate(grams):
-                    if c := own.get(g):
-                        count[i, k] = c
-                        total[place[g[:-1]], k] += c
-                        kinds[place[g[:-1]], k] += 1
-            weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            for i, g in enumerate(grams):
-                j = place[g[:-1]]
-                below = probs[n - 1][g[1:]] if n > 1 else self.uniform
-                probs[n][g] = np.maximum(count[i] - discount, 0) / np.maximum(total[j], 1) + weight[j] * below
-            backs[n] = {c: weight[i] for c, i in place.items()}
+        found = [(k, w, n) for k, lang in enumerate(self.languages) for w, n in sorted(counts[lang].items())]
+        codes, lengths = coded([w for _, w, _ in found])
+        row = np.repeat(np.arange(len(found)), lengths)
+        at = np.arange(len(row)) + (row + 1) * (ORDER - 1) + 1
+        lang, count = np.array([k for k, _, _ in found])[row], np.array([n for _, _, n in found], np.float64)[row]
+        self.uniform = 1.0 / (len(np.unique(codes[at - 1])) + 1)
+        # From the longest down: a language's different n-grams, where one of each ends, and their counts; below the
+        # longest these are the numbers of different letters before.
+        levels = []
+        for n in range(ORDER, 0, -1):
+            h = hashed(codes, at, n)
+            order, first = grouped(h, lang)
+            count = np.add.reduceat(count[order], first)
+            h, lang, at = h[order][first], lang[order][first], at[order][first]
+            levels.append((n, h, lang, at, count))
+            count = np.ones(len(at))
         self.tables = []
-        for n in range(1, ORDER + 1):
-            self.tables.append((*self.sorted_by_hash(probs[n], n, size), *self.sorted_by_hash(backs[n], n - 1, size)))
+        probs = np.empty((0, size))
+        for n, h, lang, at, count in levels[::-1]:
+            grams, one, gram = np.unique(h, return_index=True, return_inverse=True)
+            context_of = hashed(codes, at - 1, n - 1)
+            contexts, context = np.unique(context_of, return_inverse=True)
+            counts_of = np.zeros((len(grams), size))
+            counts_of[gram, lang] = count
+            total = np.bincount(context * size + lang, count, len(contexts) * size).reshape(-1, size)
+            kinds = np.bincount(context * size + lang, minlength=len(contexts) * size).reshape(-1, size)
+            ones, twos = (np.bincount(lang[count == x], minlength=size) for x in (1, 2))
+            discount = np.where(ones > 0, np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95), 0.75)
+            weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            below = probs[np.searchsorted(self.tables[-1][0], hashed(codes, at[one], n - 1))] if n > 1 else self.uniform
+            j = context[one]
+            probs = np.maximum(counts_of - discount, 0) / np.maximum(total[j], 1) + weight[j] * below
+            self.tables.append((grams, np.log(probs).astype(np.float32), contexts, np.log(weight).astype(np.float32)))
         self.temperature, self.most = 1.0, float("inf")
 
-    @staticmethod
-    def sorted_by_hash(values: dict[tuple, np.ndarray], n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([[ord(c) for c in g] for g in values], np.uint64).reshape(len(values), n).ravel()
-        h = hashed(codes, (np.arange(len(values)) + 1) * n, n)
-        order = np.argsort(h)
-        return h[order], np.log(np.array(list(values.values())).reshape(len(values), size))[order].astype(np.float32)
-
     def score(self, found: list[str]) -> np.ndarray:
         """The words' log probabilities, a column a language."""
         codes, lengths = coded(found)
@@ -159,8 +160,10 @@ def learn(docs: DataFrame) -> Models | None:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_part())
     # A share of each language that surely holds its SAMPLE_DOCS least hashes is ranked, so the ranking stays small.
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
-    few = labelled.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * F.col("size").cast("double") <= 4.0 * SAMPLE_DOCS * (1 << 31))
-    ids = few.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    few = labelled.select("doc_id", "lang", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES).join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * F.col("size").cast("double") <= 4.0 * SAMPLE_DOCS * (1 << 31))
+    order = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id", "bytes")
+    ranked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    ids = ranked.withColumn("sum", F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("sum") <= SAMPLE_BYTES).groupBy("doc_id", "lang").agg(F.min("n").alias("n"))
     # SAMPLE_DOCS ids a language at most.
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang", "n")), ["doc_id", "lang"])
 

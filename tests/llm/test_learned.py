@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +47,74 @@ def test_language_without_labels(spark, no_docs):
     assert [r.lang_pred for r in rows] == ["und", "und"]
 
 
+def test_texts_without_a_letter_are_undetermined(spark, spoken):
+    odd = [(1, "½ ² ¼"), (2, "①② Ⅷ"), (3, "٣ ४ 5"), (4, "\u0301 … 🙂"), (5, "½a"), (6, "ª")]
+    taught = spoken.where("doc_id >= 1000").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
+    rows = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(taught.unionByName(more)).where("doc_id < 10").collect()}
+    assert all(rows[i] == ("und", 0) for i in (1, 2, 3, 4)) and all(rows[i][0] in STEMS for i in (5, 6))
+    assert langid.words("x½y ⅧZ ①") == ["x", "y", "z"]
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    rows = [(k, "wort haus", "zz" if k % 2 else "aa") for k in range(40)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in found} == {"aa"} and len(found) == 40
+
+
+def plain_kneser_ney(counts, order=5):
+    """The textbook recursion, on tuples: a function (letter, letters before) -> probability, for one language."""
+    grams = [Counter() for _ in range(order + 1)]
+    for word, n in counts.items():
+        letters = ["<"] * (order - 1) + list(word) + [">"]
+        for i in range(order - 1, len(letters)):
+            grams[order][tuple(letters[i - order + 1 : i + 1])] += n
+    for n in range(order - 1, 0, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
+    return grams
+
+
+def plain_score(grams, uniform, word, order=5):
+    letters, total = ["<"] * (order - 1) + list(word) + [">"], 0.0
+
+    def p(letter, before):
+        n = len(before) + 1
+        if n == 0 or not grams[n]:
+            return uniform
+        ones, twos = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.75
+        below = p(letter, before[1:]) if n > 1 else uniform
+        same = {g: c for g, c in grams[n].items() if g[:-1] == before}
+        if not same:
+            return below
+        whole = sum(same.values())
+        return max(same.get((*before, letter), 0) - d, 0) / whole + d * len(same) / whole * below
+
+    for i in range(order - 1, len(letters)):
+        total += np.log(p(letters[i], tuple(letters[i - order + 1 : i])))
+    return total
+
+
+def test_same_as_plain_kneser_ney():
+    own = {"a": Counter(prose(1, 120).lower().replace(".", "").split()), "b": Counter(prose(2, 90, STEMS["de"]).lower().replace(".", "").split())}
+    m = langid.Models(own)
+    letters = {c for x in own.values() for w in x for c in w}
+    asked = ["marlo", "schung", "q", "x" * 12, *list(own["a"])[:10], *list(own["b"])[:10]]
+    got = m.score(asked)
+    for k, lang in enumerate(sorted(own)):
+        grams = plain_kneser_ney(own[lang])
+        assert np.allclose(got[:, k], [plain_score(grams, 1 / (len(letters) + 2), w) for w in asked], atol=1e-3)
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 3000)
+    rows, lang = corpus()
+    docs = spark.createDataFrame(rows_of([*rows, (5000, "wort " * 2000)], lang=lambda i: lang.get(i, "de")), SCHEMA)
+    m = langid.learn(docs.select("doc_id", "text", "lang"))
+    assert m.languages == ["de", "en", "fr"] and all(np.isfinite(m.score(["wort"])).ravel())
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.Models({"a": {"abab": 3, "ba": 1, "c": 2}, "b": {"xyz": 4, "yx": 1}})
     letters = ["a", "b", "c", "x", "y", "z"]
