@@ -30,8 +30,10 @@ def expected(rows):
 
 def test_same_as_all_products(spark, monkeypatch):
     df = spark.createDataFrame(vectors(), SCHEMA).repartition(3)
-    for block in (4096, 50):
+    for block, seeds, size in ((4096, 8192, 1 << 24), (50, 60, 1 << 24), (50, 5, 100)):
         monkeypatch.setattr(K, "BLOCK", block)
+        monkeypatch.setattr(K, "SEEDS", seeds)
+        monkeypatch.setattr(K, "QUERY_BYTES", size)
         assert {tuple(r) for r in K.exact_top_k(df).collect()} == expected(vectors())
 
 
@@ -50,3 +52,45 @@ def test_walk_stops_early():
     s, i = lists.top(q, -1, 5)
     full = sorted(zip((-(v @ q)).tolist(), range(5000), strict=True))[:5]
     assert [(-a, b) for a, b in full] == list(zip(s.tolist(), i.tolist(), strict=True))
+
+
+def test_bounds_pass_from_block_to_block():
+    """With the kth score known, blocks of other directions are not walked at all, and the result is that of all products."""
+    rng = np.random.default_rng(8)
+    ways = rng.normal(0, 1, (16, 12))
+    v = np.concatenate([np.floor(400 * w + rng.normal(0, 25, (256, 12))) for w in ways]).astype(np.int64)
+    blocks = [K.Lists(np.arange(a, a + 256), v[a : a + 256], np.float64) for a in range(0, len(v), 256)]
+    queries = v[::64]
+    alone = together = 0
+    for j, q in enumerate(queries):
+        own, best, least = 64 * j, None, None
+        for b in blocks:
+            b.walked = 0
+            b.top(q, own, 10)
+            alone += b.walked
+        first = blocks[own // 256].top(q, own, 10)
+        least = int(first[0][-1])
+        for b in blocks:
+            b.walked = 0
+            if b.bounds(q[None])[0] >= (least if best is None or len(best[0]) < 10 else max(least, best[0][-1])):
+                best = b.top(q, own, 10, best, least)
+            together += b.walked
+        want = sorted((-int(s), i) for i, s in enumerate(v @ q) if i != own)[:10]
+        assert [(-s, i) for s, i in zip(*(x.tolist() for x in best), strict=True)] == want
+    assert alone == len(queries) * len(blocks) and together < 0.35 * alone
+
+
+def test_large_components_stay_exact(spark):
+    big = [(100 * k, [float(2**30 + k), 1.0]) for k in range(30)]
+    got = K.exact_top_k(spark.createDataFrame([(i, v, 1, 1, 1) for i, v in big], "vec_id long, embedding array<double>, rank int, score long, label int"), scale=1).collect()
+    want = {}
+    for i, v in big:
+        scores = sorted(((-int(v[0]) * int(w[0]) - 1, j) for j, w in big if j != i))[:10]
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(scores)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+
+
+def test_ragged_lists():
+    import pyarrow as pa
+
+    assert K.matrix(pa.array([[1, 2, 3], [4], []]), 3).tolist() == [[1, 2, 3], [4, 0, 0], [0, 0, 0]]
