@@ -193,23 +193,62 @@ def test_quality_without_labels(marked, no_docs):
     assert quality.assess(no_docs, labels).collect() == []
 
 
+def shuffled_letters(text, rng):
+    """The same bytes, words of the same lengths, letters of each word in another order."""
+    return " ".join("".join(rng.permutation(list(w))) for w in text.split())
+
+
+def test_quality_of_passages_that_byte_counts_cannot_tell_apart(spark):
+    rng = np.random.default_rng(5)
+    texts = {k: prose(k, 200) for k in range(700)}
+    junk = {1000 + k: shuffled_letters(prose(1000 + k, 200), rng) for k in range(500)}
+    mixed = {2000 + k: prose(2000 + k, 200) + " " + shuffled_letters(prose(3000 + k, 130), rng) for k in range(200)}  # good passages beside bad ones
+    truth = dict.fromkeys(texts, 1) | dict.fromkeys(junk, 0) | dict.fromkeys(mixed, 0)
+    noise = {i for i in truth if rng.random() < 0.08}  # labels that are wrong
+    docs = spark.createDataFrame(rows_of((texts | junk | mixed).items()), SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, 1 - y if i in noise else y) for i, y in truth.items()], "doc_id long, quality int")
+    rows = [r for r in quality.assess(docs, labels).collect() if r.held_out]
+    right = {kind: np.mean([(r.predicted == 1) == (truth[r.doc_id] == 1) for r in rows if r.doc_id in kind]) for kind in map(frozenset, (texts, junk, mixed))}
+    assert min(right.values()) >= 0.9, right.values()
+
+
+def test_word_features():
+    feature, n = quality.word_features([b"ab", b"x" * 300, b"ab", "é".encode()])
+    assert n.tolist() == [3, 301, 3, 3] and len(feature) == n.sum() and feature[:3].tolist() == feature[304:307].tolist()
+    assert 0 <= feature.min() and feature.max() < quality.BUCKETS and len(set(feature[:3].tolist())) == 3
+    assert quality.word_features([])[0].tolist() == []
+
+
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    texts = [prose(k, 150).encode() for k in range(30)] + [b"", b"x" * 3000]
+    net = quality.fit(texts, np.arange(len(texts)) % 2 * 1.0)
+    whole = quality.Scorer(net).score(texts)
+    monkeypatch.setattr(quality, "REMEMBERED", 10)
+    one = quality.Scorer(net)
+    assert np.allclose(whole, [one.score([t])[0] for t in texts], atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
-    rows, counts = quality.features([prose(k, 100 + 50 * k).encode() for k in range(4)] + [b""])
-    net = quality.fit(rows, counts, np.array([0.0, 1, 0, 1, 1]))
-    x, y = (rows - net.mean) / net.scale, np.array([1.0, 0, 1, 0, 1])
+    texts, y = [prose(k, 100 + 50 * k).encode() for k in range(4)] + [b""], np.array([1.0, 0, 1, 0, 1])
+    net = quality.fit(texts, np.array([0.0, 1, 0, 1, 1]))
+    known = quality.Numbered()
+    b = quality.bags(texts, known)
+    words = known.new
+    feature, n = quality.word_features(words)
 
     def loss():
-        p = net.forward(x, counts)["y"]
+        p = net.forward(net.vectors(words), b)["y"]
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     net.p = {k: rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
-    g = net.gradients(x, counts, y)
+    g = net.gradients(feature, n, b, y)
     for k, v in net.p.items():
-        at = tuple(rng.integers(0, s) for s in v.shape)
+        at = (feature[7], 3) if k == "W" else tuple(rng.integers(0, s) for s in v.shape)
         v[at] += 1e-5
         up = loss()
         v[at] -= 2e-5
         down = loss()
         v[at] += 1e-5
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
+    assert g["W"][feature[7]].any() and g["f"].any()
