@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker unpacks at a time (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
+#: Bits of one row of a bit map (what bitmap_construct_agg makes), and rows of a map at most: 32 MB.
+ROW_BITS = 1 << 15
+MAP_ROWS = 1 << 13
+#: Edges that are contracted at a time.
+CONTRACTED = 1 << 18
 
 _ours: set[str] = set()
 
@@ -23,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is
+    this machine; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         found = tempfile.mkdtemp(prefix="stylomill-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -93,6 +103,60 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def parted(df: DataFrame, on: list[str], keys: DataFrame, key_columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose columns `on` may be among keys, rows whose columns surely are not), without a shuffle of df.
+
+    A bit map of the keys' hashes, sized by their number up to MAP_ROWS rows, is broadcast.  What it lets through by chance
+    must be sorted out by the join that follows; with very many keys that is more, and results stay the same.  JVM only."""
+    n = keys.count()
+    rows, name = 1, f"map_{uuid.uuid4().hex}"
+    while rows < MAP_ROWS and rows * ROW_BITS < 16 * n:
+        rows *= 2
+
+    def spot(columns: list[str]) -> tuple[Column, Column]:
+        h = F.xxhash64(*columns)
+        return F.shiftright(h, 15).bitwiseAND(F.lit(rows - 1)), h.bitwiseAND(F.lit(ROW_BITS - 1))
+
+    row, bit = spot(key_columns or on)
+    bits = saved(keys.select(row.alias(f"{name}_row"), bit.alias("bit")).groupBy(f"{name}_row").agg(F.bitmap_construct_agg("bit").alias(f"{name}_bits")), "bits")
+    row, bit = spot(on)
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    marked = df.withColumn(f"{name}_row", row).join(F.broadcast(bits), f"{name}_row", "left").withColumn(f"{name}_in", inside)
+    some, none = (marked.where(F.col(f"{name}_in") == x).select(*(F.col(f"`{c}`") for c in df.columns)) for x in (True, False))
+    return some, none
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as stars: of CONTRACTED edges at a time, each node with the least that it reaches in them."""
+
+    def stars(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in edges:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = top(a), top(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        found = [(x, top(x)) for x in list(root)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found if x[0] != x[1]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CONTRACTED:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
 
@@ -111,7 +175,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
     # Only the last round's table is left when it ends.
-    state = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    # Each task contracts its edges first, so few rounds are left.
+    own = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    state = saved(own.mapInArrow(contracted, "a long, b long").distinct(), f"{name}-0")
     seen, turn = None, 0
     while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
