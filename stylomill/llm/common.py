@@ -158,11 +158,11 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
+    """(node, component) for every node of the edges (a, b): the smallest node that it reaches; a written table.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014); each round is a written table.  Only three
-    numbers a round reach the driver.  Null ends, loops and repeated edges are ignored.
-    """
+    Tasks contract their edges to stars; once CONTRACTED edges at most are left, a bounded number, one task ends the work.
+    Till then alternating large-star and small-star steps (Kiveris et al., 2014) bring them together; each round is a
+    written table.  Only two numbers a round reach the driver.  Null ends, loops and repeated edges are ignored."""
 
     def stars(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -175,16 +175,22 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
     # Only the last round's table is left when it ends.
-    # Each task contracts its edges first, so few rounds are left.
+    star = "a long, b long"
     own = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = saved(own.mapInArrow(contracted, "a long, b long").distinct(), f"{name}-0")
+    state = saved(own.mapInArrow(contracted, star), f"{name}-0")
     seen, turn = None, 0
     while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
-        seen, turn = now, turn + 1
+        turn += 1
+        before = state
+        if now[0] <= CONTRACTED:
+            state = saved(state.coalesce(1).mapInArrow(contracted, star), f"{name}-{turn}")
+            discard(before)
+            break
+        seen = now
         large = saved(stars(state), f"{name}-{turn}-large")
-        before, state = state, saved(small(large), f"{name}-{turn}")
+        state = saved(small(large), f"{name}-{turn}")
         discard(before, large)
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

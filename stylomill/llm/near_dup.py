@@ -354,9 +354,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return pairs.where("ca <> cb")
 
     # An id that several classes hold joins them.
-    of_id = named.join(classes.select("set_hash", "rep"), "set_hash").select("doc_id", "rep").distinct()
-    several = of_id.groupBy("doc_id").agg(F.min("rep").alias("rb"), F.max("rep").alias("top")).where("rb < top").select(reshuffled("doc_id"), "rb")
-    same_id = saved(of_id.join(several, "doc_id").where("rep <> rb").select(F.col("rep").alias("ra"), "rb").distinct(), "same_id")
+    several = named.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low < high").select(reshuffled("doc_id"))
+    of_id = saved(named.select("doc_id", "set_hash").join(several, "doc_id").distinct().join(classes.select("set_hash", "rep"), "set_hash").select("doc_id", "rep").distinct(), "of_id")
+    least = of_id.groupBy("doc_id").agg(F.min("rep").alias("rb")).select(reshuffled("doc_id"), "rb")
+    same_id = of_id.join(least, "doc_id").where("rep <> rb").select(F.col("rep").alias("ra"), "rb")
 
     best = edges.groupBy("a").agg(F.max(F.struct("estimate", "b", "ra", "rb")).alias("m")).select("a", "m.b", "m.ra", "m.rb")
     first = verified(best, "first")

@@ -162,11 +162,25 @@ def test_registers_estimate_and_band():
     assert N.schemes(0, 0.85) == [] and N.schemes(1000, 0.85) == ["small", "large"]
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (8, 7), (7, 20), (5, 5), (4, 1), (1, 2), (None, 1)]
-    from stylomill.llm.common import components
+@pytest.mark.parametrize("at_once", [1 << 18, 2])
+def test_components(spark, monkeypatch, at_once):
+    from stylomill.llm import common
 
+    monkeypatch.setattr(common, "CONTRACTED", at_once)
+    edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (8, 7), (7, 20), (5, 5), (4, 1), (1, 2), (None, 1)] + [(100 + k, 101 + k) for k in range(40)]
     got = defaultdict(set)
-    for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect():
+    for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "t").collect():
         got[r.component].add(r.node)
-    assert dict(got) == {1: {1, 2, 3, 4}, 7: {7, 8, 9, 10, 20}}
+    assert dict(got) == {1: {1, 2, 3, 4}, 7: {7, 8, 9, 10, 20}, 100: set(range(100, 141))}
+    assert common.components(spark.createDataFrame([], "a long, b long"), "t").collect() == []
+
+
+def test_parted(spark):
+    from stylomill.llm.common import parted
+
+    rows = spark.createDataFrame([(k if k % 7 else None, f"t{k}") for k in range(500)], "id long, text string")
+    keys = spark.createDataFrame([(k,) for k in range(0, 500, 9)], "other long")
+    some, none = parted(rows, ["id"], keys, ["other"])
+    got, rest = ({r.text for r in x.collect()} for x in (some, none))
+    assert {f"t{k}" for k in range(0, 500, 9) if k % 7} <= got and len(got) < 120 and not got & rest and len(got | rest) == 500
+    assert some.columns == rows.columns and parted(rows, ["id"], keys.limit(0), ["other"])[0].count() == 0
