@@ -62,14 +62,18 @@ STOP_ENDINGS = ("e", "em", "en", "er", "es")
 #: Metrics of human reference registers.
 STRUCTURAL_REFERENCE = (
     # register, n_sentences, n_tokens, nominalization_per_100, noun_verb_ratio, mean_sentence_len, clauses_per_sentence, mean_parse_depth, passive_ratio
-    ("dialog/literary", 12500, 145291, 1.05, 1.59, 11.6, 1.3, 2.72, 0.03),
-    ("forum", 969, 12305, 2.13, 2.13, 12.7, 1.19, 2.61, 0.089),
-    ("forum-AT", 5476, 82011, 2.59, 2.2, 15.0, 1.41, 2.79, 0.123),
-    ("encyclopedic", 5113, 83309, 2.42, 3.27, 16.3, 1.3, 2.95, 0.205),
-    ("academic", 7113, 135410, 3.39, 2.6, 19.0, 1.44, 3.19, 0.136),
-    ("speech", 7955, 141362, 3.35, 1.63, 17.8, 1.66, 3.25, 0.076),
+    ("dialog/literary (cultural/dibilit)", 12500, 145291, 1.05, 1.59, 11.6, 1.3, 2.72, 0.03),
+    ("forum (web/wikidiscussions)", 969, 12305, 2.13, 2.13, 12.7, 1.19, 2.61, 0.089),
+    ("forum-AT (web/onemillionposts)", 5476, 82011, 2.59, 2.2, 15.0, 1.41, 2.79, 0.123),
+    ("encyclopedic (web/wikipedia)", 5113, 83309, 2.42, 3.27, 16.3, 1.3, 2.95, 0.205),
+    ("academic (scientific/openalex)", 7113, 135410, 3.39, 2.6, 19.0, 1.44, 3.19, 0.136),
+    ("speech (political/germanpoliticalspeeches)", 7955, 141362, 3.35, 1.63, 17.8, 1.66, 3.25, 0.076),
 )
 STRUCTURAL_COLUMNS = ("register", "n_sentences", "n_tokens", "nominalization_per_100", "noun_verb_ratio", "mean_sentence_len", "clauses_per_sentence", "mean_parse_depth", "passive_ratio")
+#: The register that scores are held against.
+LIVELY = "dialog/literary (cultural/dibilit)"
+#: Decimals of the published metrics.
+DECIMALS = {"nominalization_per_100": 2, "noun_verb_ratio": 2, "mean_sentence_len": 1, "clauses_per_sentence": 2, "mean_parse_depth": 2, "passive_ratio": 3, "mattr": 4}
 SCORED_METRICS = ("nominalization_per_100", "noun_verb_ratio", "mean_sentence_len", "mean_parse_depth", "passive_ratio")
 
 #: (kind, phrase) of the acceptance report.

@@ -94,7 +94,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def letter_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+"), F.lit(0))
+    """The word tokens that are letters throughout."""
+    return F.filter(word_tokens(text), lambda t: F.rlike(t, F.lit("^\\p{L}+$")))
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
@@ -179,5 +180,28 @@ def choice_block(choices: Column) -> Column:
     return F.array_join(F.transform(choices, lambda c, i: F.concat(F.get(F.array(*map(F.lit, "ABCD")), i), F.lit(") "), c)), "\n")
 
 
-def fact_block(facts: Column) -> Column:
-    return F.when(F.size(F.coalesce(facts, F.array())) > 0, F.concat(F.lit("Das Wichtigste in Kürze: "), F.array_join(facts, "; "), F.lit("."))).otherwise("")
+# What prompts and served prompts say before the facts.
+FACTS = "Das Wichtigste in Kürze: "
+SERVED_FACTS = "Fakten (faktentreu bleiben, nichts erfinden): "
+
+
+def fact_block(facts: Column, prefix: str = FACTS) -> Column:
+    return F.when(F.size(F.coalesce(facts, F.array())) > 0, F.concat(F.lit(prefix), F.array_join(facts, "; "), F.lit("."))).otherwise("")
+
+
+def shown(text: Column, n: int = 600) -> Column:
+    """The text without white space around it, cut for display; what is empty is said to be."""
+    own = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    return F.when(own == "", "(leer)").otherwise(F.left(own, F.lit(n)))
+
+
+def with_register(prompt: Column, register: Column) -> Column:
+    """A system prompt, and a register's instruction after a space if it says anything."""
+    own = F.regexp_replace(F.coalesce(register, F.lit("")), "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    return F.when(own == "", prompt).otherwise(F.concat(prompt, F.lit(" "), own))
+
+
+def escaped_html(text: Column) -> Column:
+    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text

@@ -17,7 +17,7 @@ STRETCH = 1 << 16
 def in_band(register: str = "register", perplexity: str = "perplexity", registers: tuple[str, ...] = ("web", "expository")) -> Column:
     """Whether a document passes: the band holds for some registers, and a null passes."""
     p = F.col(perplexity)
-    return ~F.col(register).isin(*registers) | p.isNull() | p.between(*C.PERPLEXITY_BAND)
+    return ~F.coalesce(F.col(register).isin(*registers), F.lit(False)) | p.isNull() | p.between(*C.PERPLEXITY_BAND)
 
 
 def degenerate(tokens: Column) -> Column:
@@ -28,8 +28,11 @@ def degenerate(tokens: Column) -> Column:
 def running_before(df: DataFrame, key: str, order: str, value: str, out: str = "before") -> DataFrame:
     """df with the sum of `value` over the rows of the same key before this one.
 
-    Two levels: stretches of ids get sums of their own, which are few; so no task holds all rows of a hot key."""
-    own = df.withColumn("stretch", F.floor(F.col(order) / STRETCH).cast("long"))
+    Two levels: stretches of ids get sums of their own, which are few; so no task holds all rows of a hot key.  A stretch is
+    as wide as STRETCH rows take on average, whether ids are dense or hashes.  Three numbers reach the driver."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    width = max(1.0, (float(high) - float(low) + 1) / max(1, -(-n // STRETCH))) if n else 1.0
+    own = df.withColumn("stretch", F.floor((F.col(order).cast("double") - float(low or 0)) / width).cast("long"))
     sums = own.groupBy(key, "stretch").agg(F.sum(value).alias("stretch_sum"))
     offset = F.coalesce(F.sum("stretch_sum").over(W.partitionBy(key).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col(key).alias("k"), F.col("stretch").alias("s"), offset.alias("offset"))

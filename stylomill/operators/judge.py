@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .evaluate import paired
 
 
 def marked(answers: DataFrame) -> DataFrame:
@@ -22,6 +23,11 @@ def accuracy(answers: DataFrame, base: str, other: str) -> DataFrame:
     return share.select("task", F.col(base).alias("base_pct"), F.col(other).alias("other_pct"), (F.col(other) - F.col(base)).alias("delta"))
 
 
+def with_arm(rows: DataFrame, arm: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """rows with a further arm's text, looked up by key in another file's rows(key, name); a key it lacks is an error."""
+    return paired(rows, {name: arm.select(key, F.col(name).alias("text"))}, key)
+
+
 def tally(verdicts: DataFrame, blind: DataFrame, arms: DataFrame) -> DataFrame:
     """arm, wins, losses over verdicts(id, best, worst) and blind(id, label, arm); arms without either stay with 0."""
     each = verdicts.unpivot(["id"], ["best", "worst"], "verdict", "label")

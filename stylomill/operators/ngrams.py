@@ -23,16 +23,27 @@ def counted(df: DataFrame, by: list[str], weight: str | None = None) -> DataFram
 RANKED_EARLY = 1000
 
 
+#: First characters by which ties at the least frequency are told apart before they are ranked.
+TIE_CHARS = 4
+
+
 def top(df: DataFrame, k: int, by: list[str]) -> DataFrame:
     """The k most frequent of each group, ties by n-gram, with their rank.
 
-    For a large k, the least frequency that can be among them is found from the frequencies' counts first; so only about
-    k rows a group are sorted, not the whole group in one task."""
+    For a large k, the least frequency that can be among them is found from the frequencies' counts first, and the last
+    first characters that can be among the ties there; so only about k rows a group are sorted, not the whole group in one
+    task."""
     if k > RANKED_EARLY:
-        counts = df.groupBy(*by, "frequency").agg(F.count("*").alias("c"))
-        before = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        least = counts.withColumn("before", before).where(F.col("before") < k).groupBy(*by).agg(F.min("frequency").alias("least"))
-        df = df.join(least, by).where(F.col("frequency") >= F.col("least")).drop("least") if by else df.crossJoin(least).where(F.col("frequency") >= F.col("least")).drop("least")
+        above = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = df.groupBy(*by, "frequency").agg(F.count("*").alias("c")).withColumn("above", above).where(F.col("above") < k)
+        least = counts.groupBy(*by).agg(F.min(F.struct("frequency", "above")).alias("least"))
+        df = df.join(least, by) if by else df.crossJoin(least)
+        start = F.left("ngram", F.lit(TIE_CHARS)).alias("start")
+        ties = df.where(F.col("frequency") == F.col("least.frequency")).groupBy(*by, start).agg(F.count("*").alias("c"), F.any_value("least.above").alias("above"))
+        before = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        last = ties.withColumn("before", before).where(F.col("before") + F.col("above") < k).groupBy(*by).agg(F.max("start").alias("last"))
+        df = df.join(last, by) if by else df.crossJoin(last)
+        df = df.where((F.col("frequency") > F.col("least.frequency")) | (F.col("frequency") == F.col("least.frequency")) & (start <= F.col("last"))).drop("least", "last")
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("frequency"), "ngram"))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 

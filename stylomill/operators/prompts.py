@@ -54,12 +54,31 @@ def selected(selection: DataFrame, subject: DataFrame, copy_types: DataFrame, to
     return filled(rows.crossJoin(F.broadcast(subject.select(F.col("id").alias("subject_id"), "name", "branche", "fakten"))))
 
 
-def stratified(rows: DataFrame, n: int, stratum: str, key: str = "id", seed: int = 42) -> DataFrame:
-    """n rows: one of every stratum as far as n goes, in the strata's order, then others at random; the same for a seed."""
+def stratified(rows: DataFrame, n: int, stratum: str, key: str = "id", seed: int = 42, first: Column | None = None) -> DataFrame:
+    """n rows: one of those marked by `first`, if any is, then one more of every stratum as far as n goes, in the strata's
+    order, then others at random; the same for a seed."""
     chance = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))
-    ranked = rows.withColumn("chance", chance).withColumn("nth", F.row_number().over(W.partitionBy(stratum).orderBy("chance", key)))
-    first = F.when(F.col("nth") == 1, 0).otherwise(1)
-    return ranked.orderBy(first, F.when(F.col("nth") == 1, F.col(stratum)), "chance", key).limit(n).drop("chance", "nth")
+    marked = F.coalesce(first, F.lit(False)) if first is not None else F.lit(False)
+    own = rows.withColumn("__chance", chance).withColumn("__marked", marked)
+    # Of the marked rows one is taken ahead of all strata.
+    lead = own.where("__marked").orderBy("__chance", key).limit(1).select(F.col(key).alias("__lead"))
+    own = own.join(F.broadcast(lead), F.col(key) == F.col("__lead"), "left")
+    nth = F.row_number().over(W.partitionBy(stratum, F.col("__lead").isNotNull()).orderBy("__chance", key))
+    ranked = own.withColumn("__turn", F.when(F.col("__lead").isNotNull(), 0).when(nth == 1, 1).otherwise(2))
+    return ranked.orderBy("__turn", F.when(F.col("__turn") == 1, F.col(stratum)), "__chance", key).limit(n).drop("__chance", "__marked", "__lead", "__turn")
+
+
+def by_type(rows: DataFrame, stratum: str = "copy_type", key: str = "id") -> DataFrame:
+    """Each type with the ids of its rows, in order."""
+    return rows.groupBy(stratum).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+
+
+def served(rows: DataFrame) -> DataFrame:
+    """id, prompt as a served model is asked: facts under their own heading, white space only taken off the ends."""
+    prompt = F.col("template")
+    for name, value in {"name": F.col("name"), "branche": F.col("branche"), "fakten_block": T.fact_block(F.col("fakten"), T.SERVED_FACTS), "tone_hint": F.col("tone_hint"), "length_hint": F.col("length_hint")}.items():
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), value)
+    return rows.select("id", F.regexp_replace(prompt, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "").alias("prompt"))
 
 
 def looked_up(rows: DataFrame, id_: str, key: str = "id") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import corpus, discriminate, evaluate, judge, ngrams, phrases, prompts, structure
+from ..operators import corpus, discriminate, evaluate, judge, ngrams, phrases, prompts
 from . import oracle as O
 from .inline import ANSWERS, ARMS, BLIND, COPY_TYPES, LENGTHS, PHRASES, SELECTION, SUBJECTS, TONES, VERDICTS, WORDS, rows
 
@@ -160,6 +160,16 @@ def register_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.register_report(corpus.prepared(with_band(spark, sf_dir)), BANDED)
 
 
+HEADER = "Deutscher Bundestag — 12. Wahlperiode — 3. Sitzung. Bonn, den 5. "
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN lang = 'de' THEN regexp_replace({O.quoted(HEADER)} || text, {O.quoted('(?i)' + C.PLENARY_HEADER)}, ' ', 'g') ELSE {O.quoted(HEADER)} || text END) AS clean_md5 FROM documents")
+def header_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plenary header goes in the register that has it."""
+    own = documents(spark, sf_dir).withColumn("text", F.concat(F.lit(HEADER), "text"))
+    return corpus.prepared(own, header_registers=("de",)).select("doc_id", F.md5("text").alias("clean_md5"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("sentence")).where(~T.blank(F.col("sentence")))
     return lines.groupBy("sentence").agg(F.count("*").alias("count"))
@@ -179,6 +189,19 @@ def subtitle_scaled_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.counted(grams, [], "weight").orderBy(F.desc("frequency"), "ngram", "n").limit(200)
 
 
+@query(
+    f"WITH {KEPT_SQL}, s AS (SELECT sentence, count(*) AS cnt FROM (SELECT unnest(string_split(text, chr(10))) AS sentence FROM documents) WHERE regexp_matches(sentence, '[^\\s\\p{{Z}}]') GROUP BY sentence), "
+    + O.content("st", "sentence, cnt", f"(SELECT * FROM s WHERE NOT regexp_matches(sentence, {O.quoted('(?i)' + C.SUBTITLE_NOISE)}))", "sentence")
+    + f", k AS (SELECT *, least(cnt, {C.SENTENCE_WEIGHT_CAP}) AS w FROM st WHERE len(t) >= 2), z AS (SELECT least(((SELECT coalesce(sum(length(text)), 0) FROM kept) * {C.SUBTITLE_PERCENT} / {100 - C.SUBTITLE_PERCENT}) / sum(length(sentence) * w), {C.SUBTITLE_SCALE_CAP}) AS scale FROM k)"
+    + ", v AS (SELECT t, CAST(greatest(1, round_even(w * scale, 0)) AS BIGINT) AS weight FROM k, z UNION ALL SELECT t, 1 FROM kept), "
+    + O.grams("g", "weight", "v")
+    + f", c AS (SELECT n, ngram, CAST(sum(weight) AS BIGINT) AS frequency FROM g GROUP BY n, ngram), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, ngram) AS INTEGER) AS rank FROM c) SELECT n, ngram, frequency, rank FROM r WHERE rank <= {PROFILE_K}"
+)
+def ngram_profile_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of documents and of sentences scaled to their share."""
+    return corpus.profile(with_band(spark, sf_dir), BUDGET, sentences(spark, sf_dir), k=PROFILE_K, banded=BANDED)
+
+
 @query(
     "WITH "
     + O.content("tok", "doc_id, source", "documents")
@@ -252,18 +275,23 @@ def emergent_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminate.emergent(talk, doc_profile(spark, sf_dir), [])
 
 
+@query(SPREAD_SQL + f" SELECT keep, ngram, count, spread, baseline FROM f WHERE keep = 'slop?' ORDER BY spread DESC, count DESC, ngram LIMIT 30")
+def top_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminate.top_slop(spread_candidates(spark, sf_dir))
+
+
 def doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.counted(ngrams.exploded(tokenised(documents(spark, sf_dir)), []), [])
 
 
 def asked_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed candidates, and the first six words of every benchmark text."""
+    """The fixed candidates, and every benchmark text."""
     fixed = rows(spark, "kind string, phrase string", C.CANDIDATES)
-    return fixed.unionByName(read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("phrase")))
+    return fixed.unionByName(read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("text").alias("phrase")))
 
 
 LOOKUP_SQL = (
-    f"WITH {DOC_BASE_SQL}, asked AS (SELECT * FROM ({O.values(C.CANDIDATES)}) v(kind, phrase) UNION ALL SELECT 'benchmark', array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') FROM benchmark), "
+    f"WITH {DOC_BASE_SQL}, asked AS (SELECT * FROM ({O.values(C.CANDIDATES)}) v(kind, phrase) UNION ALL SELECT 'benchmark', text FROM benchmark), "
     + O.content("pt", "phrase", "(SELECT DISTINCT phrase FROM asked)", "phrase")
     + """, pg AS (SELECT phrase, 2 AS n, unnest(range(1, len(t))) AS i, t FROM pt UNION ALL SELECT phrase, 3, unnest(range(1, len(t) - 1)), t FROM pt),
 pk AS (SELECT phrase, n, i, array_to_string(list_slice(t, i, i + n - 1), ' ') AS ngram FROM pg),
@@ -321,9 +349,19 @@ def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_hits(own, rows(spark, "phrase string", [(p,) for p in PHRASES]), lower_phrase=False, squeeze=True).groupBy("phrase").agg(F.sum("hits").cast("long").alias("hits"))
 
 
-@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, {O.quoted('(?i)' + phrases.alternation(PHRASES))})) AS BIGINT) AS hits FROM documents")
+HIGHLIGHTED = [*PHRASES, "l'eau", "“and", "r&d <the>"]
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all({O.escaped('text')}, {O.quoted('(?i)' + phrases.alternation(HIGHLIGHTED))})) AS BIGINT) AS hits FROM documents")
 def highlight_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.highlight_hits(documents(spark, sf_dir).select("doc_id", "text"), PHRASES)
+    return phrases.highlight_hits(documents(spark, sf_dir).select("doc_id", "text"), HIGHLIGHTED)
+
+
+@query(f"SELECT conv_id, turn, md5(regexp_replace({O.escaped('text')}, {O.quoted('(?i)(' + phrases.alternation(HIGHLIGHTED) + ')')}, '<mark>\\1</mark>', 'g')) AS html_md5 FROM conversations")
+def marked_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escaped texts with the phrases marked."""
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return phrases.highlighted(talk, HIGHLIGHTED).select("conv_id", "turn", F.md5("html").alias("html_md5"))
 
 
 BANNED = ["the entire", "que ment", "and the", "nur der", "with that", "the tion the"]
@@ -347,6 +385,28 @@ def ngram_ban_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 TICS = ("the ", "ich ", "que ", "en en", "aa")
 
 
+TIC_SQL = "x AS (SELECT unnest(" + O.listed(TICS) + f") AS tic, unnest(range({len(TICS)})) AS ord), c AS (SELECT role AS arm, tic, ord, CAST(sum({O.occurrences('lower(text)', 'tic')}) AS BIGINT) AS hits FROM conversations, x GROUP BY role, tic, ord), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY arm ORDER BY hits DESC, ord) AS INTEGER) AS place FROM c)"
+
+
+@query(f"WITH {TIC_SQL} SELECT arm, place, tic, hits FROM o WHERE place <= 3")
+def top_tics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_tics(arms(spark, sf_dir), tics=TICS, k=3)
+
+
+@query(f"WITH {TIC_SQL} SELECT o.place, o.tic, coalesce(b.hits, 0) AS base, o.hits AS other FROM o LEFT JOIN o b ON b.arm = 'user' AND b.tic = o.tic WHERE o.arm = 'assistant' AND o.place <= 5 AND o.hits > 0")
+def tic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.tic_changes(arms(spark, sf_dir), "user", "assistant", tics=TICS)
+
+
+SEED_LISTS = [[p for k, p in C.CANDIDATES if k == kind] for kind in ("slop_phrases", "slop_phrases_functionword")] + [PHRASES]
+
+
+@query(f"SELECT DISTINCT phrase FROM ({O.values((p,) for x in SEED_LISTS for p in x)}) v(phrase)")
+def seed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of three lists once."""
+    return phrases.seed_list([rows(spark, "phrase string", [(p,) for p in x]) for x in SEED_LISTS])
+
+
 @query("WITH x AS (SELECT unnest(" + O.listed(TICS) + f") AS tic) SELECT role AS arm, tic, CAST(sum({O.occurrences('lower(text)', 'tic')}) AS BIGINT) AS hits FROM conversations, x GROUP BY role, tic")
 def tic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.tic_counts(arms(spark, sf_dir), tics=TICS)
@@ -376,7 +436,8 @@ def degenerate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looped(spark, sf_dir).groupBy(F.col("role").alias("arm")).agg(F.count_if(bad).cast("long").alias("n_degenerate"), F.count("*").alias("n_texts"))
 
 
-LETTER_SQL = "WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '\\p{L}+') AS t FROM documents)"
+LETTERS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '\\p{L}+'))"
+LETTER_SQL = f"WITH w AS (SELECT doc_id, lang, {LETTERS} AS t FROM documents)"
 
 
 @query(LETTER_SQL + ", c AS (SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS k FROM w WHERE len(t) > 0) SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(k AS BIGINT) AS n_types, CAST(k AS DOUBLE) / CAST(n AS DOUBLE) AS ttr, CAST(k AS DOUBLE) / sqrt(CAST(n AS DOUBLE)) AS rttr FROM c")
@@ -394,7 +455,7 @@ def pooled_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mattr_sql(key: str, source: str) -> str:
     n = C.MATTR_WINDOW
-    return f"""w AS (SELECT {key}, regexp_extract_all(lower(text), '\\p{{L}}+') AS t FROM {source}),
+    return f"""w AS (SELECT {key}, {LETTERS} AS t FROM {source}),
 e AS (SELECT {key}, len(t) AS n, unnest(t) AS x, unnest(range(0, len(t))) AS j FROM w),
 p AS (SELECT *, coalesce(lag(j) OVER (PARTITION BY {key}, x ORDER BY j), -1) AS p FROM e),
 s AS (SELECT {key}, any_value(n) AS n, count(DISTINCT x) AS k, sum(greatest(0, least(j, n - {n}) - greatest(0, j - {n - 1}, p + 1) + 1)) AS total FROM p GROUP BY {key}),
@@ -421,30 +482,6 @@ def md_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.without_markdown(marked)).alias("clean_md5"))
 
 
-def _score_sql() -> str:
-    parts = " + ".join(f"(m.{k} - r.{k}) / r.{k}" for k in C.SCORED_METRICS)
-    return f"WITH s AS (SELECT * FROM ({O.values(C.STRUCTURAL_REFERENCE)}) v({', '.join(C.STRUCTURAL_COLUMNS)})) SELECT m.register, round(CAST(100 * (0.0 + {parts}) / {len(C.SCORED_METRICS)} AS DOUBLE), 6) AS slop_score FROM s m, s r WHERE r.register = 'dialog/literary'".replace("m.register, ", "m.register, ")
-
-
-@query(_score_sql())
-def slop_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = structure.reference(spark)
-    return structure.scored(ref, ref).select("register", F.round("slop_score", 6).alias("slop_score"))
-
-
-@query()
-def structural_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rough annotation of rules; no SQL restates it."""
-    own = documents(spark, sf_dir).select("doc_id", "register", structure.counters(structure.rule_annotation(F.col("text"))).alias("m")).select("register", "m.*")
-    return structure.ratios(structure.pooled(own, ["register"]))
-
-
-@query()
-def holdout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All measures of an evaluation, by role; rests on the rough annotation too."""
-    return evaluate.report(arms(spark, sf_dir), rows(spark, "phrase string", [(p,) for p in PHRASES]), structure.reference(spark))
-
-
 def configuration(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     subjects = rows(spark, "id string, name string, branche string, fakten array<string>, profiling boolean", SUBJECTS)
     return subjects, rows(spark, "id string, label string, template string, ord int", [(*x, k) for k, x in enumerate(COPY_TYPES)]), rows(spark, "id string, hint string", TONES), rows(spark, "id string, hint string", LENGTHS)
@@ -489,10 +526,30 @@ def holdout_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     GRID_SQL
-    + ", h AS (SELECT *, md5('42|' || id) AS chance FROM grid), r AS (SELECT *, row_number() OVER (PARTITION BY copy_type ORDER BY chance, id) AS nth FROM h), o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN nth = 1 THEN 0 ELSE 1 END, CASE WHEN nth = 1 THEN copy_type END, chance, id) AS k FROM r) SELECT id, subject_id, branche, copy_type, tone, length, prompt FROM o WHERE k <= 30"
+    + f""", h AS (SELECT *, md5('42|' || id) AS chance, subject_id = {O.quoted(SUBJECTS[1][0])} AS marked FROM grid), f AS (SELECT *, marked AND row_number() OVER (PARTITION BY marked ORDER BY chance, id) = 1 AS lead FROM h),
+r AS (SELECT *, CASE WHEN lead THEN 0 WHEN row_number() OVER (PARTITION BY copy_type, lead ORDER BY chance, id) = 1 THEN 1 ELSE 2 END AS step FROM f),
+o AS (SELECT *, row_number() OVER (ORDER BY step, CASE WHEN step = 1 THEN copy_type END, chance, id) AS k FROM r) SELECT id, subject_id, branche, copy_type, tone, length, prompt FROM o WHERE k <= 30"""
 )
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.stratified(prompts.grid(*configuration(spark)), 30, "copy_type")
+    """One row of the flagship subject, one more of every type, then others."""
+    return prompts.stratified(prompts.grid(*configuration(spark)), 30, "copy_type", first=F.col("subject_id") == SUBJECTS[1][0])
+
+
+@query(GRID_SQL + " SELECT copy_type, array_to_string(list_sort(list(id)), ',') AS ids FROM grid GROUP BY copy_type")
+def prompts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.by_type(prompts.grid(*configuration(spark))).select("copy_type", F.array_join("ids", ",").alias("ids"))
+
+
+SERVED_SQL = "regexp_replace(replace(replace(replace(replace(replace(ct.template, '{name}', su.name), '{branche}', su.branche), '{fakten_block}', CASE WHEN len(su.fakten) > 0 THEN 'Fakten (faktentreu bleiben, nichts erfinden): ' || array_to_string(su.fakten, '; ') || '.' ELSE '' END), '{tone_hint}', tn.hint), '{length_hint}', ax.hint), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+
+
+@query(f"{_config_sql()} SELECT concat_ws('__', su.id, ct.id, tn.id, ax.id) AS id, {SERVED_SQL} AS prompt FROM su, ct, tn, ax WHERE ax.uses = contains(ct.template, '{{length_hint}}')")
+def served_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject's prompts as a served model is asked."""
+    subjects, types, tones, lengths = configuration(spark)
+    what = types.select(F.col("id").alias("copy_type"), "template", F.contains("template", F.lit(prompts.LENGTH)).alias("uses_length")).join(prompts.axes(lengths), "uses_length")
+    each = subjects.select(F.col("id").alias("subject_id"), "name", "branche", "fakten").crossJoin(F.broadcast(what)).crossJoin(F.broadcast(tones.select(F.col("id").alias("tone"), F.col("hint").alias("tone_hint"))))
+    return prompts.served(each.withColumn("id", F.concat_ws("__", "subject_id", "copy_type", "tone", "length")))
 
 
 def _number_sql(text: str) -> str:
@@ -513,20 +570,6 @@ def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.tally(rows(spark, "id string, best string, worst string", VERDICTS), rows(spark, "id string, label string, arm string", BLIND), rows(spark, "arm string", [(a,) for a in ARMS]))
 
 
-def _metric(k: str) -> Column:
-    return F.col(f"b_{k}"), F.col(f"o_{k}")
-
-
-@query(
-    f"WITH s AS (SELECT * FROM ({O.values(C.STRUCTURAL_REFERENCE)}) v({', '.join(C.STRUCTURAL_COLUMNS)})) SELECT o.register, CASE WHEN o.passive_ratio < b.passive_ratio THEN 'win' ELSE 'loss' END AS passive, CASE WHEN o.noun_verb_ratio < b.noun_verb_ratio THEN 'win' ELSE 'loss' END AS noun_verb, CASE WHEN o.clauses_per_sentence > b.clauses_per_sentence THEN 'win' ELSE 'loss' END AS clauses FROM s o, s b WHERE b.register = 'forum'"
-)
-def metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = structure.reference(spark)
-    base = ref.where("register = 'forum'").select(*(F.col(c).alias(f"b_{c}") for c in ("passive_ratio", "noun_verb_ratio", "clauses_per_sentence")))
-    own = ref.select("register", *(F.col(c).alias(f"o_{c}") for c in ("passive_ratio", "noun_verb_ratio", "clauses_per_sentence"))).crossJoin(F.broadcast(base))
-    return own.select("register", evaluate.compared(*_metric("passive_ratio")).alias("passive"), evaluate.compared(*_metric("noun_verb_ratio")).alias("noun_verb"), evaluate.compared(*_metric("clauses_per_sentence"), down=False).alias("clauses"))
-
-
 def _reference_sql(most: int) -> str:
     return f"WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, lang AS register, CAST(length(substring(coalesce(text, ''), 1, 4000)) AS BIGINT) AS chars FROM d WHERE k <= {most}"
 
@@ -555,3 +598,6 @@ def reference_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unique_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_profile(spark, sf_dir).groupBy("n").agg(F.count("*").alias("n_unique"), F.sum("frequency").cast("long").alias("occurrences"))
+
+
+from . import evaluation, files  # noqa: E402, F401  # they add their queries

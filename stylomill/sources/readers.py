@@ -85,6 +85,13 @@ def ban_list(spark: SparkSession, path: str) -> DataFrame:
     return keys.unionByName(items.select(phrase.alias("phrase"))).where(F.col("phrase").isNotNull() & (F.col("phrase") != ""))
 
 
+def grouped_bans(spark: SparkSession, path: str) -> DataFrame:
+    """group, phrase of a JSON object whose lists are groups of phrases; its other entries are remarks."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.trim("value"), "map<string,string>")).alias("group", "list"))
+    lists = whole.where(F.startswith("list", F.lit("[")) & F.json_array_length("list").isNotNull())
+    return lists.select("group", F.explode(F.from_json("list", "array<string>")).alias("phrase")).where("phrase <> ''")
+
+
 def answers(spark: SparkSession, path: str, task: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of a benchmark table, the same for a seed."""
     df = spark.read.parquet(path).withColumn("task", F.lit(task))

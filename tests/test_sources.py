@@ -40,6 +40,26 @@ def test_ban_lists(spark, tmp_path):
     assert sorted(r.phrase for r in R.ban_list(spark, put(tmp_path / "d.json", '{"x y": 1, "z": 2}')).collect()) == ["x y", "z"]
 
 
+def test_grouped_bans(spark, tmp_path):
+    groups = json.dumps({"_comment": "[no list]", "a": ["x y", "z", ""], "b": [], "n": 3, "c": ["ä"]}, ensure_ascii=False)
+    assert sorted(tuple(r) for r in R.grouped_bans(spark, put(tmp_path / "g.json", groups)).collect()) == [("a", "x y"), ("a", "z"), ("c", "ä")]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stylomill.sources import scratch as H
+
+    def fake(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder, set=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+
+    assert H.shared_dir(fake("spark://x:7077", "hdfs://y")) == "hdfs://y"
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            H.shared_dir(fake(master, None))
+    assert H.shared_dir(fake("local[4]", None))
+
+
 def test_configuration(spark, tmp_path):
     tones, lengths, types = R.copy_config(spark, put(tmp_path / "c.json", json.dumps({"tones": [{"id": "t", "hint": "h"}], "lengths": [], "copy_types": [{"id": "a", "label": "l", "template": "x"}, {"id": "b", "label": "l", "template": "y"}]}, indent=1)))
     assert tones.count() == 1 and lengths.count() == 0 and [(r.id, r.ord) for r in types.orderBy("ord").collect()] == [("a", 0), ("b", 1)]

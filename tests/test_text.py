@@ -96,4 +96,8 @@ def test_small_functions(spark):
     assert many(spark, ["1,234 and -5.5", "none", "7."], "string", T.last_number) == [-5.5, None, 7.0]
     assert many(spark, ["is b", "", "xyz d"], "string", T.first_choice) == ["B", None, "D"]
     assert one(spark, ["x", "y"], "array<string>", T.choice_block) == "A) x\nB) y"
+    assert many(spark, ["a3 B-c _d é1 é", None], "string", T.letter_tokens) == [["b", "c", "é"], None]
+    assert many(spark, ["<a> & 'b' \"c\"", None], "string", T.escaped_html) == ["&lt;a&gt; &amp; &#x27;b&#x27; &quot;c&quot;", None]
+    assert many(spark, [" \u00a0x y ", "", None], "string", lambda c: T.shown(c, 2)) == ["x ", "(leer)", "(leer)"]
+    assert many(spark, [["a"], []], "array<string>", lambda c: T.fact_block(c, T.SERVED_FACTS)) == ["Fakten (faktentreu bleiben, nichts erfinden): a.", ""]
     assert many(spark, [["a", "b"], [], None], "array<string>", T.fact_block) == ["Das Wichtigste in Kürze: a; b.", "", ""]
