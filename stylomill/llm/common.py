@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker unpacks at a time (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
-#: Bits of one row of a bit map (what bitmap_construct_agg makes), and rows of a map at most: 32 MB.
+#: Bits of one row of a bit map (what bitmap_construct_agg makes), and rows of a map at most: 16 MB.
 ROW_BITS = 1 << 15
-MAP_ROWS = 1 << 13
+MAP_ROWS = 1 << 12
 #: Edges that are contracted at a time.
 CONTRACTED = 1 << 18
 
@@ -108,7 +108,7 @@ def parted(df: DataFrame, on: list[str], keys: DataFrame, key_columns: list[str]
 
     A bit map of the keys' hashes, sized by their number up to MAP_ROWS rows, is broadcast.  What it lets through by chance
     must be sorted out by the join that follows; with very many keys that is more, and results stay the same.  JVM only."""
-    n = keys.count()
+    n = keys.agg(F.approx_count_distinct(F.xxhash64(*(key_columns or on)))).first()[0]
     rows, name = 1, f"map_{uuid.uuid4().hex}"
     while rows < MAP_ROWS and rows * ROW_BITS < 16 * n:
         rows *= 2

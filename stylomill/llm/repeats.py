@@ -36,9 +36,9 @@ from .common import discard, parted, raw, reshuffled, saved, slices
 #: Bytes of an anchor string.
 ANCHOR = 64
 #: Anchors of one piece of a long text; a piece overlaps its neighbours by a context.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bits of a map: 16 for each key, between these powers of two.
-MAP_BITS = (16, 28)
+MAP_BITS = (16, 27)
 #: Bytes of a trigger, and bytes from one trigger to the next on average.
 MARK = 8
 SPACING = 32
@@ -139,7 +139,7 @@ def anchors(texts: list[bytes], length: int) -> Iterator[dict[str, np.ndarray]]:
 
 
 def key_map(keys: DataFrame, key: str) -> np.ndarray:
-    """A bit map of the keys' low bits, sized by their number, up to 32 MB.  keys: a written table."""
+    """A bit map of the keys' low bits, sized by their number, up to 16 MB.  keys: a written table."""
     low, high = MAP_BITS
     bits = min(high, max(low, (16 * keys.count()).bit_length()))
     place = keys.select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("p"))
@@ -175,23 +175,23 @@ def refined(rank: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
 
     A suffix ends before its `end`; what has ended is the least.  A rank is the number of suffixes that are less; equal
     suffixes have equal ranks."""
-    rank, place = rank.copy(), np.arange(len(rank))
-    while True:
-        size = np.bincount(rank, minlength=len(rank) + 1)[rank]
-        at = np.flatnonzero((size > 1) & (place + width < end))
-        if not len(at):
-            return rank
-        # All members of the classes that some of these belong to.
-        at = np.flatnonzero(np.isin(rank, rank[at]))
+    rank, n = rank.copy(), len(rank)
+    at = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1) if n else np.empty(0, np.int64)
+    while len(at):
         further = at + width
-        second = np.where(further < end[at], rank[np.minimum(further, len(rank) - 1)] + 1, 0)
-        order = np.lexsort((second, rank[at]))
-        first, next_ = rank[at][order], second[order]
+        first, second = rank[at], np.where(further < end[at], rank[np.minimum(further, n - 1)] + 1, 0)
+        order = np.argsort(first * (n + 1) + second)
+        at, first, second = at[order], first[order], second[order]
         opens = np.r_[True, first[1:] != first[:-1]]
-        splits = opens | np.r_[True, next_[1:] != next_[:-1]]
-        spot = np.arange(len(order))
-        rank[at[order]] = first + np.maximum.accumulate(np.where(splits, spot, 0)) - np.maximum.accumulate(np.where(opens, spot, 0))
+        splits = opens | np.r_[True, second[1:] != second[:-1]]
+        spot = np.arange(len(at))
+        rank[at] = first + np.maximum.accumulate(np.where(splits, spot, 0)) - np.maximum.accumulate(np.where(opens, spot, 0))
+        # Equal ones that go on may still part.
+        begin = np.flatnonzero(splits)
+        size = np.diff(np.r_[begin, len(at)])
+        at = at[np.repeat((size > 1) & (second[begin] > 0), size)]
         width *= 2
+    return rank
 
 
 def ranked(values: np.ndarray) -> np.ndarray:
@@ -272,7 +272,7 @@ def runs(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 #: Contexts with one anchor string that are compared in one shard, and contexts that a task takes at a time.
 BLOCK_CONTEXTS = 256
-BUCKET_CONTEXTS = 4096
+BUCKET_CONTEXTS = 1024
 FOUND = "id long, key long, start long, last long, gram long, own long, other long, block int, a long"
 
 
@@ -317,7 +317,6 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select(reshuffled("gram"), F.ceil(F.col("contexts") / BLOCK_CONTEXTS).cast("int").alias("blocks"))
     several = saved(contexts.join(grams, "gram"), "several")
     holders = several.groupBy("id", "key").agg(F.collect_list(F.struct("gram", "context", "n", "at", "lo", "hi", "blocks")).alias("contexts"))
-    side = length - ANCHOR
     kinds = {"id": "long", "key": "long", "at": "long", "lo": "long", "hi": "long", "gram": "long", "block": "int", "blocks": "int", "n": "long", "left": "long", "content": "binary"}
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +324,8 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             out = []
             for doc, key, text, held in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), raw(batch), batch.column("contexts").to_pylist(), strict=True):
                 for p in held:
-                    begin = max(0, p["at"] - side)
-                    out.append((doc, key, p["at"], p["lo"], p["hi"], p["gram"], p["context"] % p["blocks"], p["blocks"], p["n"], p["at"] - begin, text[begin : p["at"] + length]))
+                    begin = p["at"] - p["hi"]  # no further than its windows reach
+                    out.append((doc, key, p["at"], p["lo"], p["hi"], p["gram"], p["context"] % p["blocks"], p["blocks"], p["n"], p["hi"], text[begin : p["at"] - p["lo"] + length]))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
