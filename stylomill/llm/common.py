@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, scratch
+
 #: Bytes of text that a Python worker unpacks at a time (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
 #: Bits of one row of a bit map (what bitmap_construct_agg makes), and rows of a map at most: 16 MB.
@@ -21,41 +19,10 @@ MAP_ROWS = 1 << 12
 #: Edges that are contracted at a time.
 CONTRACTED = 1 << 18
 
-_ours: set[str] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is
-    this machine; on a cluster it must be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.match(r"local($|\[)", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
-        found = tempfile.mkdtemp(prefix="stylomill-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder.  What operators put there goes when the session's program ends."""
-    top = f"{shared_dir(spark).rstrip('/')}/stylomill-{spark.sparkContext.applicationId}"
-    if top not in _ours:
-        _ours.add(top)
-        atexit.register(_swept, spark, top)
-    return f"{top}/{uuid.uuid4().hex}-{name}"
-
-
-def _swept(spark: SparkSession, top: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session was stopped before, and the folder is its owner's to clear
-        delete(spark, top)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
@@ -71,11 +38,6 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.scratch_path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def reshuffled(key: str) -> Column:
     """The key under an expression that hides its partitioning, so that a join exchanges both of its sides and adaptive execution can split a hot key."""
     return F.shiftright(F.col(key), 0).alias(key)

@@ -11,8 +11,9 @@ is scored over its whole text; what a worker remembers of words is bounded, and
 its own length.
 
 Null texts are empty: one passage without words.  A null id counts as held out.  Rows that repeat an id each get a row; an
-id with several labels counts by its least.  Null labels teach nothing.  Without labels every score is the share of label 1
-assumed, 0.5.  Equal texts have equal scores.  An empty table gives an empty result; other columns are ignored.
+id with several labels counts by its least.  Null labels teach nothing.  Where the sample holds one label alone there is
+nothing to tell apart, and every score is the share of label 1 in it with one more document of each assumed (0.5 without any
+label).  Equal texts have equal scores.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ EPOCHS = 6
 BATCH = 64
 RATE = 0.01
 DECAY = 1e-4
+#: Figures that hardly differ in the sample are not blown up beyond this.
+LEAST_SPREAD = 0.02
 #: Words that a worker remembers.
 REMEMBERED = 400_000
 
@@ -207,9 +210,9 @@ class Network:
 
 
 class Scorer:
-    """Scores texts, with the vectors of words met so far remembered."""
+    """Scores texts, with the vectors of words met so far remembered; or gives all the one score."""
 
-    def __init__(self, network: Network):
+    def __init__(self, network: Network | float):
         self.network = network
         self.forget()
 
@@ -217,8 +220,8 @@ class Scorer:
         self.known, self.rows, self.n = Numbered(), np.empty((1 << 12, HIDDEN), np.float32), 0
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.empty(0)
+        if not texts or isinstance(self.network, float):
+            return np.full(len(texts), self.network if texts else 0.0)
         if len(self.known) > REMEMBERED:
             self.forget()
         b = bags(texts, self.known)
@@ -240,7 +243,8 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     feature, n_features = word_features(known.new)
     begin = np.cumsum(n_features) - n_features
     shapes = {"W": (BUCKETS, HIDDEN), "M": (N_MAKEUP, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, ATTENTION), "U": (HIDDEN, ATTENTION), "w": (ATTENTION,), "c": (HIDDEN,), "f": (N_DOCUMENT,), "d": (1,)}
-    net = Network(whole.makeup.mean(axis=0), whole.makeup.std(axis=0) + 1e-3, whole.figures.mean(axis=0), whole.figures.std(axis=0) + 1e-3, {k: rng.normal(0, 0.3, s) for k, s in shapes.items()})
+    spread = [np.maximum(x.std(axis=0), LEAST_SPREAD) for x in (whole.makeup, whole.figures)]
+    net = Network(whole.makeup.mean(axis=0), spread[0], whole.figures.mean(axis=0), spread[1], {k: rng.normal(0, 0.3, s) for k, s in shapes.items()})
     passage, token = np.cumsum(whole.count) - whole.count, np.cumsum(whole.size) - whole.size
     m, v, step = {k: np.zeros(s) for k, s in shapes.items()}, {k: np.zeros(s) for k, s in shapes.items()}, 0
 
@@ -265,7 +269,8 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
+def learn(docs: DataFrame, labels: DataFrame) -> Network | float:
+    """The network, or the score of all documents where only one label is known."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("quality"))
     labelled = docs.where(training_part()).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES).join(marks, "doc_id")
     # A share that surely holds the SAMPLE_DOCS least hashes is ordered, so the order stays small.
@@ -276,9 +281,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     # SAMPLE_DOCS ids and labels are broadcast at most, and SAMPLE_BYTES of text (more only where ids repeat) come back.
     sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id")
     found = sample.select("doc_id", "quality", F.col("text").cast("binary").alias("text")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    if not found.num_rows:
-        return None
-    return fit([x or b"" for x in found.column("text").to_pylist()], found.column("quality").to_numpy())
+    truth = found.column("quality").to_numpy()
+    if len(np.unique(truth)) < 2:
+        return float((truth.sum() + 1) / (len(truth) + 2))
+    return fit([x or b"" for x in found.column("text").to_pylist()], truth)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -288,17 +294,16 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def scores(own: DataFrame, network: Network | None) -> DataFrame:
+def scores(own: DataFrame, network: Network | float) -> DataFrame:
     """own's columns but text, held_out and score."""
     shared = own.sparkSession.sparkContext.broadcast(network)
     names = [c for c in own.columns if c != "text"]
     schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names) + ", held_out boolean, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value else None
+        scorer = Scorer(shared.value)
         for batch in slices(batches):
-            found = scorer.score(raw(batch)) if scorer else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "held_out")), pa.array(found)], names=[*names, "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "held_out")), pa.array(scorer.score(raw(batch)))], names=[*names, "held_out", "score"])
 
     return own.select(*names, (~training_part()).alias("held_out"), "text").mapInArrow(run, schema)
 
@@ -309,8 +314,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(own, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value else None
+        scorer = Scorer(shared.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array(scorer.score(raw(batch)) >= THRESHOLD)) if scorer else batch
+            yield batch.filter(pa.array(scorer.score(raw(batch)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reshuffled, saved
+from .common import parted, reshuffled, saved
 
 VALUE = "([A-Za-z0-9+/_.=-]+)"
 #: kind: pattern, and the least number of characters of the value (group 2 of assign, else the match).
@@ -64,7 +64,7 @@ def spans_of(text: Column, kind: str, pattern: str, least: int, ord_: int) -> Co
 
 
 def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """row, key, doc_id, owner, repository, spans (of all patterns, in order) for every row of docs; a written table."""
+    """row, id, key, doc_id, owner, repository, spans (of all patterns, in order) for every row of docs; a written table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("repository"), text.alias("text"))
     empty = F.expr(f"cast(array() as {SPAN})")
@@ -72,7 +72,7 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     return saved(
         own.select(
             F.monotonically_increasing_id().alias("row"),
-            row_key().alias("key"),
+            *row_key(),
             "doc_id",
             F.split_part("repository", F.lit("/"), F.lit(1)).alias("owner"),
             "repository",
@@ -82,8 +82,10 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     )
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def row_key() -> tuple[Column, Column]:
+    """What tells rows apart: the id, and a hash of whether there is one and of the text."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(doc_id.isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -106,9 +108,9 @@ def live_spans(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """doc_id, key, spans (all, by start and kind), for every row of docs(doc_id, text, source)."""
+    """doc_id, id, key, spans (all, by start and kind), for every row of docs(doc_id, text, source)."""
     found = candidates(docs, owner)
-    return found.join(live_spans(found), "row", "left").select("doc_id", "key", F.when(F.col("live").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "live"))).alias("spans"))
+    return found.join(live_spans(found), "row", "left").select("doc_id", "id", "key", F.when(F.col("live").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "live"))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -130,11 +132,16 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the values that look live replaced in text; all other rows and columns as they were."""
-    live = find_secrets(docs).where(F.exists("spans", lambda s: s["kind"] == "live"))
-    values = live.select("key", F.array_distinct(F.transform(F.filter("spans", lambda s: s["kind"] == "live"), lambda s: s["value"])).alias("values")).dropDuplicates(["key"])
+    """docs with the values that look live replaced in text; all other rows and columns as they were.
+
+    Only rows that may hold such a value are shuffled, with their texts."""
+    found = candidates(docs)
+    live = found.select("row", "id", "key").join(live_spans(found), "row")
+    values = saved(live.select("id", "key", F.array_distinct(F.transform("live", lambda s: s["value"])).alias("values")).dropDuplicates(["id", "key"]), "live")
+    keyed = docs.select(*row_key(), F.struct("*").alias("own"))
+    near, others = parted(keyed, ["id", "key"], values)
     longest = F.transform(F.reverse(F.array_sort(F.transform("values", lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
     text = F.col("own.text")
     hidden = F.when(F.col("values").isNull(), text).otherwise(F.aggregate(longest, text, lambda acc, v: F.replace(acc, v, F.lit(mark))))
-    keyed = docs.select(row_key().alias("key"), F.struct("*").alias("own"))
-    return keyed.join(values, "key", "left").select(*(hidden.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns))
+    changed = near.join(values, ["id", "key"], "left").select(*(hidden.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns))
+    return others.select("own.*").unionAll(changed)

@@ -147,26 +147,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tokenizer = tokenizer or default_path()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents' ids; and a task's count of each id, as a last row with a null width."""
         encoder = Encoder.of(tokenizer)
-        narrow = np.dtype("<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4")
+        size = max(encoder.size, end_id + 1)
+        narrow, total = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, np.int64)
+        names = ["doc_id", "ids", "width"]
         for batch in slices(batches):
             ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=size)
+            total[end_id] += len(ids)
             packed = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(narrow).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array([narrow.itemsize] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, "ids"):
-            # One tokenizer wrote all ids, so all are of one width.
-            one = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{batch.column('width')[0].as_py()}"))
-            if len(one) > len(total):
-                total = np.append(total, np.zeros(len(one) - len(total), np.int64))
-            total[: len(one)] += one
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    tokens = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tokenise, "doc_id long, ids binary, width int"), "ids")
-    counts = tokens.select("ids", "width").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array([narrow.itemsize] * len(ids), pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([None], pa.int32())], names=names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = sum((np.frombuffer(x, "<i8") for x in batch.column("ids").to_pylist()), np.zeros(0, np.int64) if not batch.num_rows else 0)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+
+    written = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tokenise, "doc_id long, ids binary, width int"), "ids")
+    tokens = written.where("width IS NOT NULL")
+    counts = written.where("width IS NULL").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/frequencies")
     shared = docs.sparkSession.sparkContext.broadcast(table_of(docs.sparkSession.read.parquet(f"{path}/frequencies")))
 
@@ -193,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(pack, "segment int, block int, first long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
-    discard(tokens)
+    discard(written)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -17,6 +17,8 @@ import regex
 #: Characters that normalisation leaves alone (but for case) and that no two versions of Unicode class differently.
 ODD = bytes(x for x in range(256) if x not in (9, 10, 13, *range(32, 127), *range(161, 173), *range(174, 256)))
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ɏ‐-‧]*")
+#: Marks that make a token of their own after a word.
+ENDS = frozenset(".,;:!?")
 #: Pieces and words that a worker remembers.
 REMEMBERED = 500_000
 REMEMBERED_WORDS = 700_000
@@ -109,7 +111,7 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces: their words go through the model in one call and part at the ids that end a word."""
-        parts = [[x] if x.isalpha() else self.pattern.findall(x) for x in pieces]
+        parts = [[x] if x.isalpha() else [x[:-1], x[-1]] if x[-1] in ENDS and x[:-1].isalpha() else self.pattern.findall(x) for x in pieces]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
         order = list(set().union(*parts).difference(self.words))

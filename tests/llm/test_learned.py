@@ -191,6 +191,9 @@ def test_quality_without_labels(marked, no_docs):
     assert {r.score for r in quality.assess(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
     assert quality.assess(no_docs, labels).collect() == []
+    only = labels.where("quality = 0").limit(6)
+    assert len({r.score for r in quality.assess(docs, only).collect()}) == 1 and quality.keep_good(docs, only).count() == 0
+    assert quality.keep_good(docs, labels.where("quality = 1")).count() == docs.count()
 
 
 def shuffled_letters(text, rng):

@@ -35,3 +35,32 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert P.run(spark, d).collect() == []
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeats, ties, long texts and clashing names go through every stage."""
+    item = prose(70, 40)
+    texts = [*edge_texts(), (None, item), (None, prose(71, 60)), (None, prose(71, 60)), (700, prose(72, 60)), (700, prose(72, 60)), (701, prose(5, 30000) + " " + prose(6, 40000))]
+    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None, "x", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int").repartition(3)
+    d = str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = saved(stage(spark, kept, d), name)
+        assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert not any(t and item in t for _, t in found)
+    assert sum(t == prose(71, 60) for _, t in found) == 1 and sum(i == 700 for i, _ in found) == 1
+    assert {(4, None), (5, ""), (6, "   \n\t ")} <= set(found)
+    packed = P.packed(spark, kept, d).collect()
+    assert sum(r.start == 0 for r in packed) == len(found)
+
+
+def test_without_optional_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = a1b2c3d4e5f60718a1b2c3d4e5f60718"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in P.without_secrets(spark, docs, str(tmp_path)).collect()}
+    assert out == {1: "token = [SECRET]", 2: "nothing here", 3: None}
+    assert P.without_secrets(spark, docs, str(tmp_path)).columns == ["doc_id", "text"]
