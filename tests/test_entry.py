@@ -53,3 +53,16 @@ def test_a_broken_dependency_is_told(tmp_path):
     code = "import __spark_entry__ as e; print(any(q.startswith('op') for q in e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert said.stdout.split() == ["False"] and "left out" in said.stderr
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stylomill.__main__ import main
+
+    main([])
+    assert "bigram_topk_by_register" in capsys.readouterr().out.split()
+    main(["top_tics", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "t"), "--format", "tsv", "--set", "spark.sql.session.timeZone=UTC"])
+    assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).columns == ["arm", "place", "tic", "hits"]
+    main(["slop_score", "--rows", "2"])
+    assert "slop_score" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="no query"):
+        main(["nothing"])
