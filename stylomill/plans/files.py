@@ -30,7 +30,7 @@ def corpus_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sentence, count(*) AS count FROM (SELECT unnest(string_split(text, chr(10))) AS sentence FROM documents) WHERE regexp_matches(sentence, '[^\\s\\p{Z}]') GROUP BY sentence")
 def sentence_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "sentences")
-    sentences(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    sentences(spark, sf_dir).write.options(**R.CSV).csv(path)
     return R.weighted_sentences(spark, path)
 
 

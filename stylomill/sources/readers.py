@@ -11,6 +11,9 @@ PROFILE = "`human-authored` struct<model_name:string,total_chars:bigint,top_bigr
 SUBJECTS = "subjects array<struct<id:string,name:string,branche:string,zielgruppe:string,fakten:array<string>,profiling:boolean,flaggschiff:boolean>>"
 COPY_TYPES = "tones array<struct<id:string,hint:string>>, lengths array<struct<id:string,hint:string>>, copy_types array<struct<id:string,label:string,template:string>>"
 
+#: Quotes inside a field are doubled, white space counts.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def corpus(spark: SparkSession, path: str, registers: list[str] | None = None) -> DataFrame:
     """Documents partitioned by register and source; choosing registers prunes partitions."""
@@ -19,7 +22,7 @@ def corpus(spark: SparkSession, path: str, registers: list[str] | None = None) -
 
 
 def weighted_sentences(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("sentence string, count bigint").option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema("sentence string, count bigint").options(**CSV).option("mode", "FAILFAST").csv(path)
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -33,7 +36,7 @@ def word_counts(spark: SparkSession, path: str) -> DataFrame:
     schema = "word string, count bigint"
     if not there(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path).groupBy(F.lower("word").alias("word")).agg(F.max("count").alias("count"))
+    return spark.read.schema(schema).options(**CSV).csv(path).groupBy(F.lower("word").alias("word")).agg(F.max("count").alias("count"))
 
 
 def profile(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ def put(path, text):
 
 
 def test_csv(spark, tmp_path):
-    assert [tuple(r) for r in R.weighted_sentences(spark, put(tmp_path / "s.csv", 'sentence,count\n"a, b",3\n')).collect()] == [("a, b", 3)]
+    assert [tuple(r) for r in R.weighted_sentences(spark, put(tmp_path / "s.csv", 'sentence,count\n"a, b",3\n"say ""x"", \\y ",4\n')).collect()] == [("a, b", 3), ('say "x", \\y ', 4)]
     assert sorted(tuple(r) for r in R.word_counts(spark, put(tmp_path / "w.csv", "word,count\nDas,3\ndas,5\nx,1\n")).collect()) == [("das", 5), ("x", 1)]
     assert R.word_counts(spark, str(tmp_path / "none.csv")).collect() == []
 
