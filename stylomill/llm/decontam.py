@@ -31,6 +31,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ WINDOW = 8
 NEED = 6
 PLAIN_WORDS = 4
 BLOCK_CHARS = 8_000_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 TABLE_BITS = 22
 #: Forms of windows that are hashed in one go, and pairs of windows that are looked at in one go.
 FORMS = 1 << 17
@@ -110,6 +111,17 @@ class Reader:
         self.start, self.length, self.ends, self.closed = Grown("int64"), Grown("int64"), Grown("bool"), Grown("bool")
         self.hash, self.kind, self.opens, self.glued = Grown("uint64"), Grown("uint8"), Grown("bool"), Grown("bool")
 
+    def shrink(self) -> None:
+        """Forgets all but the first half of what is remembered; frequent pieces were met early."""
+        n = min(len(self.known), REMEMBERED // 2)
+        first, self.known = self.known, Numbered()
+        self.known.update(islice(first.items(), n))
+        tokens = int(self.start.data[n - 1] + self.length.data[n - 1]) if n else 0
+        for grown in (self.start, self.length, self.ends, self.closed):
+            grown.n = n
+        for grown in (self.hash, self.kind, self.opens, self.glued):
+            grown.n = tokens
+
     def learn(self) -> None:
         lengths, hashes, kinds, opens, ends, glued, closed = [], [], [], [], [], [], []
         for piece in self.known.new:
@@ -140,7 +152,7 @@ class Reader:
 
     def read(self, texts: list[str]) -> Tokens:
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.shrink()
         number, numbers = self.known.__getitem__, []
         for text in texts:
             pieces = " . ".join(text.splitlines()).split()

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ RATE = 0.01
 DECAY = 1e-4
 #: Figures that hardly differ in the sample are not blown up beyond this.
 LEAST_SPREAD = 0.02
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a worker remembers, and bytes of text that it looks at in one go.
+REMEMBERED = 100_000
+SLICE = 1 << 20
 
 
 def byte_kinds() -> np.ndarray:
@@ -222,8 +224,11 @@ class Scorer:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts or isinstance(self.network, float):
             return np.full(len(texts), self.network if texts else 0.0)
-        if len(self.known) > REMEMBERED:
-            self.forget()
+        if len(self.known) > REMEMBERED:  # frequent words were met early
+            first, self.known = self.known, Numbered()
+            self.known.update(islice(first.items(), REMEMBERED // 2))
+            self.n = len(self.known)
+            self.rows = self.rows[: max(self.n, 1 << 12)].copy()
         b = bags(texts, self.known)
         new, self.known.new = self.known.new, []
         while self.n + len(new) > len(self.rows):
@@ -302,7 +307,7 @@ def scores(own: DataFrame, network: Network | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "held_out")), pa.array(scorer.score(raw(batch)))], names=[*names, "held_out", "score"])
 
     return own.select(*names, (~training_part()).alias("held_out"), "text").mapInArrow(run, schema)
@@ -315,7 +320,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             yield batch.filter(pa.array(scorer.score(raw(batch)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

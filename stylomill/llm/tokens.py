@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import regex
@@ -100,6 +101,14 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.flat, self.start, self.length = Grown("<u4"), Grown("int64"), Grown("int64")
 
+    def shrink(self) -> None:
+        """Forgets all but the first half of what is remembered; frequent pieces were met early."""
+        n = min(len(self.known), REMEMBERED // 2)
+        first, self.known = self.known, Numbered()
+        self.known.update(islice(first.items(), n))
+        self.start.n = self.length.n = n
+        self.flat.n = int(self.start.data[n - 1] + self.length.data[n - 1]) if n else 0
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in _encoders:
@@ -113,7 +122,7 @@ class Encoder:
         """Encodes new pieces: their words go through the model in one call and part at the ids that end a word."""
         parts = [[x] if x.isalpha() else [x[:-1], x[-1]] if x[-1] in ENDS and x[:-1].isalpha() else self.pattern.findall(x) for x in pieces]
         if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
+            self.words = dict(islice(self.words.items(), REMEMBERED_WORDS // 2))
         order = list(set().union(*parts).difference(self.words))
         for at in range(0, len(order), 4096):
             words = order[at : at + 4096]
@@ -135,7 +144,7 @@ class Encoder:
         if not self.pattern:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.shrink()
         numbers, number = [], self.known.__getitem__
         for t in texts:
             if plain(t) and not any(s in t for s in self.special):

@@ -58,3 +58,18 @@ def test_escape_round_trip(spark):
 
 def test_empty(spark):
     assert C.chat_digest(C.format_examples(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Every assistant turn is an example, the last holds the whole conversation."""
+    rows = [(8, k, "assistant" if k % 2 else "user", f"t{k} #", 5, "clash") for k in range(700)] + [(9, 0, "user", "short", 5, "clash")]
+    examples = C.format_examples(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = {r.conv_id: tuple(r)[1:5] for r in C.chat_digest(examples).collect()}
+    assert got == expected(rows)
+    sizes = {r.n_turns: r.n for r in examples.where("conv_id = 8").select("n_turns", F.char_length("text").alias("n")).collect()}
+    assert sorted(sizes) == list(range(2, 701, 2)) and all(sizes[k] < sizes[k + 2] for k in range(2, 700, 2))
+
+
+def test_no_python_in_the_plan(spark):
+    plan = C.chat_digest(C.format_examples(spark.createDataFrame(turns(), SCHEMA)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan

@@ -60,6 +60,17 @@ def test_canonical_kinds():
     assert m.kind.tolist() == [0, 0, D.TITLE, 0, D.NUMBER, 0, D.NUMBER, 0, 0, 0, 0] and m.edges.tolist() == [0, 10, 10, 11]
 
 
+def test_reader_forgets_without_a_trace(monkeypatch):
+    texts = [prose(k, 60) + f" So {k} km. Anna Bert {k}kg" for k in range(30)]
+    whole = D.Reader().read(texts)
+    monkeypatch.setattr(D, "REMEMBERED", 40)
+    reader = D.Reader()
+    for k in range(0, 30, 2):
+        part = reader.read(texts[k : k + 2])
+        mine = slice(whole.edges[k], whole.edges[k + 2])
+        assert all((getattr(part, c) == getattr(whole, c)[mine]).all() for c in ("hash", "kind", "either", "joined"))
+
+
 def merged_kinds(text):
     return D.Reader().read([text]).merged().kind.tolist()
 

@@ -22,6 +22,18 @@ def test_encoder_is_the_tokenizer(texts):
     assert e.encode([]) == []
 
 
+def test_encoder_forgets_without_a_trace(texts, monkeypatch):
+    from stylomill.llm import tokens
+
+    e = Encoder(default_path())
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", 200)
+    some = [t or "" for _, t in texts]
+    for _ in range(2):
+        for k in range(0, len(some), 3):
+            assert e.encode(some[k : k + 3]) == e.whole(some[k : k + 3])
+
+
 def test_file_round_trip(docs, texts, ids_of):
     rows = token_file.token_digest(docs).collect()
     got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in rows)
