@@ -300,7 +300,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Bands with the same documents, told by their number and two hashes, are one.
     keys = signed.join(classes.select("row", "rep"), "row").select("row", "rep", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (0, 1))).where("n > 1")
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    keys = saved(parted(keys, ["key"], shared)[0].join(shared, "key"), "keys")
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
     bands = met.groupBy("n", "first", "x0", "x1", F.col("key").bitwiseAND(F.lit(1)).alias("scheme")).agg(F.min("key").alias("key")).select(reshuffled("key"), "n")
     members = saved(keys.join(bands, "key").select("key", "row", "rep", "n"), "members")
     held, _ = parted(signed.select("row", "n_shingles", "small", "large"), ["row"], members.select("row"))
@@ -378,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         opened = saved(in_segments(shown, ["key", "low", "high"], propose, edge).select("a", "b", "ra", "rb"), "opened")
         links.append(settled(opened, texts, signed, groups, width, percent))
         groups = grouped(links, "groups")
-    discard(members, edges, located, crossed)
+    discard(shared, keys, members, edges, located, crossed)
 
     by_set = classes.join(groups, classes["rep"] == groups["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("linked_id"))
     return signed.select("doc_id", "n_shingles", "set_hash").join(by_set, "set_hash", "left").select(

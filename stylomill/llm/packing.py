@@ -30,6 +30,8 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 LOT_IDS = 1 << 21
 LOT_DOCS = 1 << 16
+#: Pieces that a worker remembers while it packs.
+REMEMBERED = 200_000
 #: Ids of padding that a sequence may be left with before a document is cut to fill it.
 SLACK = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -97,7 +99,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     tokenizer = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer, REMEMBERED), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         #: Of each stretch its document, ids, place in the document, and the document's number of ids.
         held: list[tuple[int | None, bytes, int, int]] = []
@@ -130,5 +132,6 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
                     size = sum(len(x) // 4 for _, x, *_ in held)
         if held:
             yield flush(True)
+        encoder.forget()  # the worker serves other operators next
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)

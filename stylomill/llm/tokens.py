@@ -20,9 +20,9 @@ ODD = bytes(x for x in range(256) if x not in (9, 10, 13, *range(32, 127), *rang
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ɏ‐-‧]*")
 #: Marks that make a token of their own after a word.
 ENDS = frozenset(".,;:!?")
-#: Pieces and words that a worker remembers.
+#: Pieces that a worker remembers, and words as a share of them.
 REMEMBERED = 500_000
-REMEMBERED_WORDS = 700_000
+WORD_SHARE = 1.4
 DEFAULT = "word_bpe_49k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -85,6 +85,7 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.remembered = REMEMBERED
         self.forget()
 
     def word_pattern(self) -> regex.Pattern | None:
@@ -103,16 +104,18 @@ class Encoder:
 
     def shrink(self) -> None:
         """Forgets all but the first half of what is remembered; frequent pieces were met early."""
-        n = min(len(self.known), REMEMBERED // 2)
+        n = min(len(self.known), self.remembered // 2)
         first, self.known = self.known, Numbered()
         self.known.update(islice(first.items(), n))
         self.start.n = self.length.n = n
         self.flat.n = int(self.start.data[n - 1] + self.length.data[n - 1]) if n else 0
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, remembered: int = REMEMBERED) -> Encoder:
+        """The worker's encoder, which is to remember so many pieces."""
         if path not in _encoders:
             _encoders[path] = cls(path)
+        _encoders[path].remembered = remembered
         return _encoders[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -121,8 +124,8 @@ class Encoder:
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces: their words go through the model in one call and part at the ids that end a word."""
         parts = [[x] if x.isalpha() else [x[:-1], x[-1]] if x[-1] in ENDS and x[:-1].isalpha() else self.pattern.findall(x) for x in pieces]
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words = dict(islice(self.words.items(), REMEMBERED_WORDS // 2))
+        if len(self.words) > WORD_SHARE * self.remembered:
+            self.words = dict(islice(self.words.items(), int(WORD_SHARE * self.remembered / 2)))
         order = list(set().union(*parts).difference(self.words))
         for at in range(0, len(order), 4096):
             words = order[at : at + 4096]
@@ -143,7 +146,7 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.pattern:
             return self.whole(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.shrink()
         numbers, number = [], self.known.__getitem__
         for t in texts:

@@ -22,12 +22,9 @@ def test_encoder_is_the_tokenizer(texts):
     assert e.encode([]) == []
 
 
-def test_encoder_forgets_without_a_trace(texts, monkeypatch):
-    from stylomill.llm import tokens
-
+def test_encoder_forgets_without_a_trace(texts):
     e = Encoder(default_path())
-    monkeypatch.setattr(tokens, "REMEMBERED", 300)
-    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", 200)
+    e.remembered = 300
     some = [t or "" for _, t in texts]
     for _ in range(2):
         for k in range(0, len(some), 3):

@@ -30,9 +30,8 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE)
 
 
 def test_entry(spark):
