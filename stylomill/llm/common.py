@@ -13,6 +13,8 @@ from ..sources.scratch import delete, scratch
 
 #: Bytes of text that a Python worker unpacks at a time (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
+#: The same where a slice's arrays are many times its text.
+SMALL_SLICE_BYTES = 1 << 20
 #: Bits of one row of a bit map (what bitmap_construct_agg makes), and rows of a map at most: 16 MB.
 ROW_BITS = 1 << 15
 MAP_ROWS = 1 << 12

@@ -40,14 +40,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SMALL_SLICE_BYTES, slices
 from .tokens import Grown, Numbered
 
 WINDOW = 8
 NEED = 6
 PLAIN_WORDS = 4
 BLOCK_CHARS = 8_000_000
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 TABLE_BITS = 22
 #: Forms of windows that are hashed in one go, and pairs of windows that are looked at in one go.
 FORMS = 1 << 17
@@ -408,7 +408,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def passed(shared: Broadcast) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, reader = shared.value, Reader()
-            for batch in slices(batches):
+            for batch in slices(batches, most=SMALL_SLICE_BYTES):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[t], index.ids[k], plain, int(index.n_plain[k]), n, int(index.n_template[k])) for t, k, plain, n in index.matches(reader.read(texts_of(batch)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names=list(names))
@@ -424,7 +424,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def passed(rest: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, reader = shared.value, Reader()
-            for batch in slices(batches):
+            for batch in slices(batches, most=SMALL_SLICE_BYTES):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[t for t, *_ in index.matches(reader.read(texts_of(batch)))]] = False
                 yield batch.filter(pa.array(clean))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, parted, raw, reshuffled, saved, slices
+from .common import SMALL_SLICE_BYTES, components, discard, parted, raw, reshuffled, saved, slices
 
 REGISTERS = 256
 MANTISSA = 10
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     r, n_bands = banding(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             sets = [shingle_hashes(words(x), width) for x in raw(batch)]
             kept: dict[str, list[bytes | None]] = {"small": [], "large": []}
             bands: list[list[int]] = []

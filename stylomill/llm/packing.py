@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SMALL_SLICE_BYTES, slices
 from .tokens import Encoder, default_path
 
 LINEAR = 1.0
@@ -31,7 +31,7 @@ QUADRATIC = 1.0 / 1024
 LOT_IDS = 1 << 21
 LOT_DOCS = 1 << 16
 #: Pieces that a worker remembers while it packs.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Ids of padding that a sequence may be left with before a document is cut to fill it.
 SLACK = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
             return pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())][: 8 + with_ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost", "ids"][: 8 + with_ids])
 
         size = 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
                 held.append((doc_id, ids + end, 0, len(ids) // 4 + 1))
                 size += len(ids) // 4 + 1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import SMALL_SLICE_BYTES, raw, slices
 from .langid import training_part
 from .tokens import Numbered
 
@@ -46,9 +46,8 @@ RATE = 0.01
 DECAY = 1e-4
 #: Figures that hardly differ in the sample are not blown up beyond this.
 LEAST_SPREAD = 0.02
-#: Words that a worker remembers, and bytes of text that it looks at in one go.
+#: Words that a worker remembers.
 REMEMBERED = 100_000
-SLICE = 1 << 20
 
 
 def byte_kinds() -> np.ndarray:
@@ -307,7 +306,7 @@ def scores(own: DataFrame, network: Network | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "held_out")), pa.array(scorer.score(raw(batch)))], names=[*names, "held_out", "score"])
 
     return own.select(*names, (~training_part()).alias("held_out"), "text").mapInArrow(run, schema)
@@ -320,7 +319,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             yield batch.filter(pa.array(scorer.score(raw(batch)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
