@@ -35,12 +35,15 @@ def met(texts: DataFrame, hay: str, phrases: DataFrame) -> DataFrame:
 
     Phrases of three words or more are joined by a word inside them, so a text meets only those that it may hold.  A
     shorter phrase has no whole word inside; those are met in blocks, a block at a time in one row, and only hits become
-    rows.  Their blocks are broadcast in parts of checked size."""
+    rows.  Their blocks are broadcast in parts of checked size.  Texts are never broadcast, whatever Spark takes their size for."""
     own = phrases.where(F.col("needle").isNotNull() & (F.col("needle") != "")).select(F.struct("*").alias("p"), inner_word(F.col("needle")).alias("__word"))
-    keyed = texts.withColumn("__word", F.explode(F.array_distinct(F.split(hay, " ")))).join(own.where("__word IS NOT NULL"), "__word")
+    bytes_ = F.octet_length(F.to_json("p"))
+    n, size, size_keyed = own.agg(F.count_if(F.col("__word").isNull()), *(F.coalesce(F.sum(F.when(F.col("__word").isNull() == x, bytes_)), F.lit(0)) for x in (True, False))).first()
+    long_ = own.where("__word IS NOT NULL")
+    long_ = F.broadcast(long_) if size_keyed <= BROADCAST_BYTES else long_.hint("merge")
+    keyed = texts.withColumn("__word", F.explode(F.array_distinct(F.split(hay, " ")))).join(long_, "__word")
     found = keyed.where(F.contains(hay, F.col("p.needle"))).drop("__word")
     short = own.where("__word IS NULL").select("p")
-    n, size = short.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("p"))), F.lit(0))).first()
     n_parts, n_blocks = -(-size // BROADCAST_BYTES), max(1, -(-n // BLOCK_PHRASES))
     for k in range(n_parts):
         part = short.where(F.pmod(F.xxhash64(F.col("p.needle"), F.lit(1)), F.lit(n_parts)) == k)
