@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from . import phrases as P
+from . import rules as R
 from . import structure as S
 
 
@@ -44,8 +45,8 @@ def degenerate(consec: Column, bigram: Column, sentence_len: Column | None = Non
 def per_text(texts: DataFrame, ref: DataFrame, annotate=None) -> DataFrame:
     """id, arm -> structure, score, MATTR (four decimals) and degeneracy of every text; each text is annotated once."""
     clean = texts.withColumn("clean", T.without_markdown(F.coalesce("text", F.lit(""))))
-    with_sents = S.annotated(clean, annotate, "clean") if annotate else clean.withColumn("sents", S.rule_annotation(F.col("clean")))
-    counted = with_sents.withColumn("m", S.counters(F.col("sents"))).select(*texts.columns, "clean", "m.*")
+    with_counters = S.annotated(clean, annotate, "clean").withColumn("m", S.counters(F.col("sents"))) if annotate else clean.withColumn("m", R.counters(F.col("clean")))
+    counted = with_counters.select(*texts.columns, "clean", "m.*")
     consec, bigram = loops(F.col("clean"))
     out = S.scored(S.ratios(counted), ref)
     mattr = F.bround(T.mattr(T.letter_tokens(F.col("clean"))), C.DECIMALS["mattr"])

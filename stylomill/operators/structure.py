@@ -23,11 +23,13 @@ TOKEN = "struct<text:string,pos:string,verbform:string,depth:int,is_space:boolea
 SENTENCES = f"array<struct<sent_id:int,tokens:array<{TOKEN}>>>"
 COUNTERS = ("n_sentences", "n_tokens", "n_noun", "n_verb", "n_nominal", "n_finite", "depth_sum", "depth_n", "n_passive")
 
-# Forms of the German auxiliaries.
+# Forms of the German auxiliaries, those of them that are infinitives, and participles without the usual form.
 AUXILIARIES = (
     "bin", "bist", "ist", "sind", "seid", "war", "warst", "waren", "wart", "gewesen", "habe", "hast", "hat", "haben", "habt", "hatte", "hatten", "werde", "wirst", "wird", "werden",
     "werdet", "wurde", "wurden", "worden", "kann", "können", "konnte", "muss", "müssen", "musste", "soll", "sollen", "sollte", "will", "wollen", "wollte", "darf", "dürfen", "mag", "möchte",
 )
+INFINITIVES = ("haben", "werden", "können", "müssen", "sollen", "wollen", "dürfen")
+PARTICIPLES = ("worden", "gewesen")
 
 
 def annotated(df: DataFrame, tagger: Callable[[Iterable[str]], Iterable[list[dict]]], text: str = "text") -> DataFrame:
@@ -57,18 +59,18 @@ def depths(heads: Column) -> Column:
 def rule_annotation(text: Column) -> Column:
     """A rough annotation: capitalised words inside a sentence are nouns, endings make verbs and participles, auxiliaries
     are listed.  The first verb or auxiliary is the root, or else the first token; nouns, verbs and auxiliaries hang on it, any
-    other token on the next one, the last on the root."""
+    other token on the next one, the last on the root.  rules.counters() counts by the same rules without these rows."""
     sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.rlike(s, F.lit("\\p{L}")))
 
     def token(word: Column, i: Column) -> Column:
         low = F.lower(word)
-        part = F.rlike(low, F.lit("^ge\\p{L}{2,}(t|en)$")) | low.isin("worden", "gewesen")
+        part = F.rlike(low, F.lit("^ge\\p{L}{2,}(t|en)$")) | low.isin(*PARTICIPLES)
         punct = ~F.rlike(word, F.lit("[\\p{L}\\p{N}]"))
         named = F.when(punct, "PUNCT").when(low.isin(*AUXILIARIES), "AUX").when((i > 0) & F.rlike(word, F.lit("^\\p{Lu}\\p{Ll}+")), "NOUN").when(F.rlike(low, F.lit("^\\p{L}{2,}(te|ten|st|en|t)$")), "VERB").otherwise("X")
         return T.let(named, lambda pos: formed(word, low, part, punct, pos))
 
     def formed(word: Column, low: Column, part: Column, punct: Column, pos: Column) -> Column:
-        infinitive = low.isin("haben", "werden", "können", "müssen", "sollen", "wollen", "dürfen")
+        infinitive = low.isin(*INFINITIVES)
         form = F.when(~pos.isin("AUX", "VERB", "NOUN"), None).when(part, "Part").when((pos == "AUX") & ~infinitive, "Fin").when((pos == "VERB") & F.rlike(low, F.lit("(te|st|t)$")), "Fin")
         return F.struct(word.alias("text"), pos.alias("pos"), form.alias("verbform"), F.lit(None).cast("int").alias("depth"), F.lit(False).alias("is_space"), punct.alias("is_punct"))
 
